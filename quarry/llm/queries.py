@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from . import quality
 from .exact import exact_groups
+from .mixing import clean_share, mix_report
 from .packing import pack
 from .records import token_records
+from .simhash import near_groups
 
 
 def bpe_50k() -> str:
@@ -20,17 +24,57 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), bpe_50k())
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix_report(docs, weight=clean_share(F.col("text")))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    voter = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), voter).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_50k())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op5_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op5_exact_dedup, op9_quality, op10_packing)}
 
 SQL = {
+    "op2_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, 1.0::DOUBLE - (length(text) - length(translate(text, '!|*$', '')))::DOUBLE / length(text)::DOUBLE) ELSE 1.0::DOUBLE END AS weight
+  FROM documents),
+rows AS (
+  SELECT d.*, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight AS es
+  FROM d),
+sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+weighed AS (
+  SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (
+  SELECT *, CASE WHEN level * w > cap THEN cap ELSE least(w * (SELECT arg_min(level, (cap / w, n)) FROM levels WHERE level * w <= cap), cap) END AS target FROM levels),
+runs AS (
+  SELECT rows.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY rows.source ORDER BY es, doc_id, size ROWS UNBOUNDED PRECEDING) AS run
+  FROM rows JOIN targets ON rows.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (epochs + CASE WHEN 2 * run - size < 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM runs
+""",
     "op5_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
