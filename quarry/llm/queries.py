@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import quality
+from . import chat, orderminhash, pii, quality
 from .exact import exact_groups
 from .mixing import clean_share, mix_report
 from .packing import pack
@@ -33,10 +33,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.edits(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    conv = F.col("conv_id").cast("long")
+    return chat.preferences(table(spark, sf_dir, "conversations"), pair=F.floor(conv / 2), side=F.pmod(conv, F.lit(2)))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     voter = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_50k())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op5_exact_dedup, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op4_fingerprints, op5_exact_dedup, op6_personal_data, op8_preferences, op9_quality, op10_packing)}
 
 SQL = {
     "op2_mixing": r"""
@@ -74,6 +88,27 @@ runs AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (epochs + CASE WHEN 2 * run - size < 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM runs
+""",
+    "op8_preferences": r"""
+WITH t AS (
+  SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side,
+    list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+p AS (
+  SELECT pair_id, coalesce(c.turns, []) AS c, coalesce(r.turns, []) AS r
+  FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r USING (pair_id)),
+n AS (
+  SELECT *, coalesce(list_position([c[i] = r[i] FOR i IN range(1, least(len(c), len(r)) + 1)], false) - 1, least(len(c), len(r)))::BIGINT AS n FROM p),
+cut AS (SELECT pair_id, n, c[:n] AS shared, c[n + 1:] AS cs, r[n + 1:] AS rs, len(c) > 0 AS has_c, len(r) > 0 AS has_r FROM n),
+sized AS (
+  SELECT *, [13 + length(x.role) + length(x.text) FOR x IN cs] AS cl, [13 + length(x.role) + length(x.text) FOR x IN rs] AS rl FROM cut)
+SELECT pair_id, CASE WHEN has_c AND has_r THEN n ELSE 0 END AS prompt_turns,
+  coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN shared], ''), '') AS prompt,
+  CASE WHEN has_c THEN coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN cs], ''), '') END AS chosen,
+  CASE WHEN has_r THEN coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN rs], ''), '') END AS rejected,
+  CASE WHEN has_c THEN coalesce(array_to_string([(list_sum(cl[:i]) - length(cs[i].text) - 8)::BIGINT || ':' || list_sum(cl[:i])::BIGINT FOR i IN range(1, len(cs) + 1) IF cs[i].role = 'assistant'], ','), '') END AS chosen_loss,
+  CASE WHEN has_r THEN coalesce(array_to_string([(list_sum(rl[:i]) - length(rs[i].text) - 8)::BIGINT || ':' || list_sum(rl[:i])::BIGINT FOR i IN range(1, len(rs) + 1) IF rs[i].role = 'assistant'], ','), '') END AS rejected_loss
+FROM sized
 """,
     "op5_exact_dedup": r"""
 WITH d AS (
