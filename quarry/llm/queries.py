@@ -12,6 +12,7 @@ from .mixing import clean_share, mix_report
 from .packing import pack
 from .records import token_records
 from .simhash import near_groups
+from .substring import repeats_removed
 
 
 def bpe_50k() -> str:
@@ -45,6 +46,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     conv = F.col("conv_id").cast("long")
@@ -61,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_50k())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op4_fingerprints, op5_exact_dedup, op6_personal_data, op8_preferences, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op4_fingerprints, op5_exact_dedup, op6_personal_data, op7_repeats, op8_preferences, op9_quality, op10_packing)}
 
 SQL = {
     "op2_mixing": r"""
