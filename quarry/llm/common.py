@@ -9,7 +9,7 @@ import uuid
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the data contracts define it: \x20 and \x09-\x0D.
@@ -100,6 +100,23 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Stands for a null key where one is joined by it.
+NO_KEY = -(1 << 63)
+
+
+def row_id(key: str, text: str) -> list[Column]:
+    """What tells rows apart by key and whole text, without nulls: _k and _h."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_k"), F.xxhash64(text_or_empty(text).cast("string")).alias("_h")]
+
+
+def only(docs: DataFrame, kept: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose (_k, _h) is in `kept`; of rows that are equal in both, one. Texts are moved once."""
+    columns = docs.columns
+    rows = docs.select("*", *row_id(key, text)).join(kept.select("_k", "_h").hint("merge"), ["_k", "_h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1)))
+    return rows.withColumn("_n", first).where("_n = 1").select(*columns)
+
+
 def words_in(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+` in a text; null counts none. One pass of a compiled split, no array of matches kept."""
     pieces = F.split(text, GAP, -1)

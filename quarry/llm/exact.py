@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, staged
+from .common import SPACE, only, row_id, scratch, staged
 
 INDEX = "digest string, keep_id long, batch long"
 
@@ -44,7 +44,10 @@ class DigestIndex:
         and empty texts are one group. Rows that repeat the key are rows of their own; if the same key and text length repeat, all of
         them are the row that stays, so `kept` marks each. Null keys come last. Other columns are not read.
         """
-        rows = docs.select(F.col(key).cast("long").alias("key"), F.sha2(normalised(text), 256).alias("digest"), F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("chars"))
+        return self._add(docs, key, text, batch).drop("_k", "_h")
+
+    def _add(self, docs: DataFrame, key: str, text: str, batch: int) -> DataFrame:
+        rows = docs.select(*row_id(key, text), F.col(key).cast("long").alias("key"), F.sha2(normalised(text), 256).alias("digest"), F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("chars"))
         rows = staged(rows, "digests")
         groups = rows.groupBy("digest").agg(F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("key").isNull().alias("no_key"), "key")).alias("first"), F.count("*").alias("group_size"))
         groups = staged(groups.select("digest", F.col("first.key").alias("keep_id"), F.col("first.shorter").alias("shorter"), "group_size"), "groups")
@@ -56,7 +59,7 @@ class DigestIndex:
         groups = groups.join(stays.hint("merge"), "digest").join(index.hint("merge"), "digest", "left")
         return (
             rows.join(groups.hint("merge"), "digest")
-            .select(F.col("key").alias(key), F.col("index_keep").alias("keep_id"), "group_size", (F.coalesce("is_new", F.lit(False)) & F.col("key").eqNullSafe(F.col("index_keep")) & (F.col("chars") == -F.col("shorter"))).alias("kept"), F.col("digest").alias("text_sha256"))
+            .select(F.col("key").alias(key), F.col("index_keep").alias("keep_id"), "group_size", (F.coalesce("is_new", F.lit(False)) & F.col("key").eqNullSafe(F.col("index_keep")) & (F.col("chars") == -F.col("shorter"))).alias("kept"), F.col("digest").alias("text_sha256"), "_k", "_h")
         )
 
 
@@ -64,3 +67,10 @@ def exact_groups(docs: DataFrame, **columns: str) -> DataFrame:
     """`DigestIndex.add` over all of `docs` with a fresh index in the shared folder."""
     spark = docs.sparkSession
     return DigestIndex(spark, scratch(spark, "digest-index")).add(docs, **columns)
+
+
+def exact_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' own columns, one row of each group of equal texts."""
+    spark = docs.sparkSession
+    groups = DigestIndex(spark, scratch(spark, "digest-index"))._add(docs, key, text, 0)
+    return only(docs, groups.where("kept"), key=key, text=text)
