@@ -1 +1 @@
-"""Functions."""
+"""Scalar functions as Column expressions, and the fixed values behind them."""

@@ -1 +1 @@
-"""Operators."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Plans."""
+"""Whole plans: compilation of sources, and programs made from tables."""

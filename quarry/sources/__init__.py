@@ -1 +1 @@
-"""Sources."""
+"""Sources and sinks: folders, uploads, archives and workspaces."""

@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming: upload intake."""
