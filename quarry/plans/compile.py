@@ -47,12 +47,15 @@ class Compilation:
 
     @cached_property
     def parts(self) -> DataFrame:
-        rows = grammar.divisions(lexer.sentences(self.tokens), self.mode)
+        return self._kept(grammar.divisions(lexer.sentences(self.tokens), self.mode))
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
         return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else rows
 
     def close(self) -> None:
-        if self.keep and "parts" in self.__dict__:
-            self.parts.unpersist()
+        for name in ("parts", "procedure", "declarations", "symbols"):
+            if self.keep and name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @cached_property
     def program(self) -> DataFrame:
@@ -68,7 +71,7 @@ class Compilation:
 
     @cached_property
     def procedure(self) -> DataFrame:
-        return grammar.procedure(self.parts, self.mode)
+        return self._kept(grammar.procedure(self.parts, self.mode))
 
     @cached_property
     def paragraphs(self) -> DataFrame:
@@ -84,11 +87,11 @@ class Compilation:
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return semantics.declarations(self.clauses, self.items, self.paragraphs)
+        return self._kept(semantics.declarations(self.clauses, self.items, self.paragraphs))
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return semantics.symbols(self.declarations)
+        return self._kept(semantics.symbols(self.declarations))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
