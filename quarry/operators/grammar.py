@@ -7,14 +7,19 @@ goes on after what it can't read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import AFTER_DATA, AFTER_IDENTIFICATION, AFTER_PROCEDURE, CLAUSES, EXTENDED_VERBS, LEVELS, SPLIT, VERBS
 from ..functions.text import quoted
 
-_FILE = Window.partitionBy("path")
-_BEFORE = Window.partitionBy("path").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
+
+def _whole() -> WindowSpec:
+    return Window.partitionBy("path")
+
+
+def _before() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _at(i: int, field: str) -> Column:
@@ -49,7 +54,7 @@ def divisions(sentences: DataFrame, mode: str = "reference") -> DataFrame:
     procedure divisions are found wherever they stand.
     """
     r = read(sentences)
-    sent, first = F.col("sent"), lambda c: F.min(F.when(c, F.col("sent"))).over(_FILE)
+    sent, first = F.col("sent"), lambda c: F.min(F.when(c, F.col("sent"))).over(_whole())
     r = r.withColumn("id_at", first((sent == 0) & _is(F.col("division") == "IDENTIFICATION")))
     after = F.coalesce(F.col("id_at"), F.lit(-1))
     stops = _is((F.col("k0") == "keyword") & (F.col("w0").isin(AFTER_IDENTIFICATION) | (F.col("w0") == "DIVISION")))
@@ -64,16 +69,16 @@ def divisions(sentences: DataFrame, mode: str = "reference") -> DataFrame:
     empty = F.col("n") == 0
     # in the data division a sentence is an item, or skipped, only after WORKING-STORAGE and before anything else
     turn = F.when(_is(in_data) & storage, 1).when(_is(in_data) & ~storage & ~number & ~empty & ~ends, 0)
-    r = r.withColumn("listing", F.coalesce(F.last(turn, ignorenulls=True).over(_BEFORE), F.lit(0)) == 1)
+    r = r.withColumn("listing", F.coalesce(F.last(turn, ignorenulls=True).over(_before()), F.lit(0)) == 1)
     data_stop = ends | (number & ~F.col("listing")) if mode == "reference" else _is(F.col("division") == "PROCEDURE")
     r = r.withColumn("data_end", F.when(F.col("data_at").isNull(), F.col("id_end")).otherwise(F.coalesce(first(_is(in_data) & data_stop), F.lit(1 << 30))))
-    r = r.withColumn("last_storage", F.max(F.when(_is(in_data) & storage & (sent < F.col("data_end")), sent)).over(_FILE))
+    r = r.withColumn("last_storage", F.max(F.when(_is(in_data) & storage & (sent < F.col("data_end")), sent)).over(_whole()))
     r = r.withColumn("proc_at", first(_is(F.col("division") == "PROCEDURE") & (sent == F.col("data_end") if mode == "reference" else sent >= F.col("data_end"))))
 
     headers = (sent == F.col("id_at")) | (sent == F.col("data_at")) | (sent == F.col("proc_at"))
     bad_header = _is(headers) & ((F.col("n") != 2) | ~F.col("ended"))
     bad_section = _is(in_data & (sent < F.col("data_end"))) & storage & ((F.coalesce(F.col("w1"), F.lit("")) != "SECTION") | (F.col("n") != 2) | ~F.col("ended"))
-    r = r.withColumn("fatal", F.max(bad_header | bad_section).over(_FILE))
+    r = r.withColumn("fatal", F.max(bad_header | bad_section).over(_whole()))
     part = (
         F.when(_is(F.col("id_at").isNotNull() & (sent > F.col("id_at")) & (sent < F.col("id_end"))), "identification")
         .when(_is(in_data & (sent < F.col("data_end"))), "data").when(_is(sent > F.col("proc_at")), "procedure")
@@ -183,11 +188,11 @@ def procedure(parts: DataFrame, mode: str = "reference") -> DataFrame:
     last_is_word = _word(F.get("toks", n - 1)["type"])
     sticks = F.col("bad").isNotNull() & (F.col("bad.k") < n) & last_is_word & F.lit(not extended)
     turn = F.when(F.col("names") & F.col("bad").isNull(), 1).when(F.col("names") & F.lit(not extended), 0)
-    rows = rows.withColumns({"sticks": sticks, "inside": F.coalesce(F.last(turn, ignorenulls=True).over(_BEFORE), F.lit(0)) == 1})
+    rows = rows.withColumns({"sticks": sticks, "inside": F.coalesce(F.last(turn, ignorenulls=True).over(_before()), F.lit(0)) == 1})
     header = _is(F.col("division").isin(AFTER_PROCEDURE))
     skipped = (n == 0) | ~word
     ends = header | (F.lit(False) if extended else skipped | (F.col("starts") & ~F.col("inside")) | sticks)
-    rows = rows.withColumn("end_at", F.min(F.when(ends, F.col("sent"))).over(_FILE)).where("end_at IS NULL OR sent <= end_at")
+    rows = rows.withColumn("end_at", F.min(F.when(ends, F.col("sent"))).over(_whole())).where("end_at IS NULL OR sent <= end_at")
     at_end = _is(F.col("sent") == F.col("end_at"))
     reached = ~at_end | (sticks & (F.col("inside") | F.col("names")) & ~header)
     if extended:
@@ -257,6 +262,8 @@ def syntax_diagnostics(parts: DataFrame, found: DataFrame, mode: str = "referenc
     ident = ident.withColumns({"error": message, "bad_at": k.cast("int"), "context": F.lit("identification_division")})
     data = parts.where((F.col("part") == "data") & ~F.col("fatal") & ~F.col("listing") & ~((F.col("k0") == "keyword") & (F.col("w0") == "WORKING-STORAGE")) | ((F.col("part") == "data") & ~F.col("fatal") & F.col("listing") & (F.col("n") > 0) & ~_is(F.col("k0") == "number") & ~_is((F.col("k0") == "keyword") & (F.col("w0") == "WORKING-STORAGE"))))
     data = data.withColumns({"error": F.concat(F.lit("unexpected token "), got(0), F.lit(" at DATA DIVISION level")), "bad_at": F.lit(0), "context": F.lit("data_division")})
+    sticks = (F.col("n") > 0) & F.col("ended") & _word(F.get("toks", F.col("n") - 1)["type"])  # the period is then met as a token of its own
+    data = data.unionByName(data.where(sticks).withColumns({"error": F.lit("unexpected token '.' at DATA DIVISION level"), "bad_at": F.col("n")}))
     items = _items(parts).withColumn("context", F.lit("working_storage_section"))
     steps = found.where("what = 'error'").withColumn("context", F.when(F.col("names"), "procedure_division").otherwise("statement"))
     cols = ["path", "sent", "error", "bad_at", "context", "toks", "ended", "stop", "start"]
