@@ -3,9 +3,11 @@ DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: How a turn is rendered: OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -14,11 +16,9 @@ def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(CLOSE), t["text"], F.lit(END))), "")
 
 
-def _loss(turns: Column, role: str) -> Column:
+def _loss(turns: Column, before: Column, role: str) -> Column:
     """Spans `start:end` in code points, end exclusive, of what bears loss: the texts of `role` with their end marks."""
-    sizes = F.transform(turns, lambda t: F.char_length(t["role"]) + F.char_length(t["text"]) + F.lit(len(OPEN) + len(CLOSE) + len(END)))
-    ends = F.transform(turns, lambda t, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
-    spans = F.transform(turns, lambda t, i: F.when(t["role"] == role, F.concat_ws(":", F.element_at(ends, i + 1) - F.char_length(t["text"]) - F.lit(len(END)), F.element_at(ends, i + 1))))
+    spans = F.transform(turns, lambda t: F.when(t["role"] == role, F.concat_ws(":", t["end"] - before - F.char_length(t["text"]) - F.lit(len(END)), t["end"] - before)))
     return F.array_join(F.array_compact(spans), ",")
 
 
@@ -30,15 +30,21 @@ def preferences(turns: DataFrame, *, pair: Column, side: Column, turn: str = "tu
     side are left out. Where one side is missing the prompt is empty and that side null. What stands in one row is one pair's turns;
     nothing else is gathered.
     """
-    rows = turns.select(pair.cast("long").alias("pair_id"), side.cast("int").alias("_side"), F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_turn"))
-    both = rows.where("pair_id IS NOT NULL AND _side IN (0, 1)").groupBy("pair_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("_side") == s, F.col("_turn")))).alias(c) for s, c in enumerate(("_c", "_r"))))
+    spark = turns.sparkSession
+    rows = turns.select(pair.cast("long").alias("pair_id"), side.cast("int").alias("_side"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.where("pair_id IS NOT NULL AND _side IN (0, 1)").repartition(partitions(spark), "pair_id")
+    order = Window.partitionBy("pair_id", "_side").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.char_length("role") + F.char_length("text") + F.lit(len(OPEN) + len(CLOSE) + len(END))
+    rows = rows.withColumn("_turn", F.struct("turn", "role", "text", F.sum(size).over(order).alias("end")))  # where each turn ends, rendered
+    both = rows.groupBy("pair_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("_side") == s, F.col("_turn")))).alias(c) for s, c in enumerate(("_c", "_r"))))
     plain = lambda c: F.transform(c, lambda t: F.struct(t["role"], t["text"]))
     same = F.zip_with(plain(F.col("_c")), plain(F.col("_r")), lambda a, b: F.coalesce(a == b, F.lit(False)))
     both = both.withColumn("_n", F.when((F.size("_c") > 0) & (F.size("_r") > 0), F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))).otherwise(0).cast("int"))
     rest = lambda c: F.slice(F.col(c), F.col("_n") + 1, F.greatest(F.size(c), F.lit(1)))
+    before = F.when(F.col("_n") > 0, F.get("_c", F.col("_n") - 1)["end"]).otherwise(F.lit(0))  # of what both share
     there = lambda c, v: F.when(F.size(c) > 0, v)
     return both.select(
         "pair_id", F.col("_n").cast("long").alias("prompt_turns"), _rendered(F.slice("_c", F.lit(1), F.col("_n"))).alias("prompt"),
         *(there(c, _rendered(rest(c))).alias(n) for c, n in (("_c", "chosen"), ("_r", "rejected"))),
-        *(there(c, _loss(rest(c), learn)).alias(n) for c, n in (("_c", "chosen_loss"), ("_r", "rejected_loss"))),
+        *(there(c, _loss(rest(c), before, learn)).alias(n) for c, n in (("_c", "chosen_loss"), ("_r", "rejected_loss"))),
     )
