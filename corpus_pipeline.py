@@ -18,7 +18,8 @@ from quarry.llm.simhash import near_deduplicated
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the neighbour vote predicts to be of label 1."""
     voter = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, voter).where("predicted = 1").drop("score", "predicted")
+    marks = ("_quality_score", "_quality_kept")
+    return quality.score(docs, voter, to=marks).where(f"{marks[1]} = 1").drop(*marks)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

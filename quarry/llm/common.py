@@ -111,10 +111,9 @@ def row_id(key: str, text: str) -> list[Column]:
 
 def only(docs: DataFrame, kept: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose (_k, _h) is in `kept`; of rows that are equal in both, one. Texts are moved once."""
-    columns = docs.columns
-    rows = docs.select("*", *row_id(key, text)).join(kept.select("_k", "_h").hint("merge"), ["_k", "_h"], "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), *row_id(key, text)).join(kept.select("_k", "_h").hint("merge"), ["_k", "_h"], "left_semi")
     first = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1)))
-    return rows.withColumn("_n", first).where("_n = 1").select(*columns)
+    return rows.withColumn("_n", first).where("_n = 1").select("_row.*")
 
 
 def words_in(text: Column) -> Column:

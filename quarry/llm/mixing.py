@@ -36,16 +36,14 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def keyed(docs: DataFrame, *, key: str, text: str, size: str | None, source: str, weight: Column | None, seed: str) -> DataFrame:
-    """docs' rows with _key, _src, _size, _es and _cell. The size is counted from the text unless a column has it."""
+    """docs' rows as _row, with _key, _src, _size, _es and _cell. The size is counted from the text unless a column has it."""
     sizes = words_in(F.col(text).cast("string")) if size is None else F.coalesce(F.col(size).cast("long"), F.lit(0))
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(1e-9))
-    return (
-        docs.withColumn("_key", F.col(key).cast("long"))
-        .withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")))
-        .withColumn("_size", sizes)
-        .withColumn("_es", -F.log(uniform(F.col(key), seed)) / w)
-        .withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_es"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
-    )
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(key).cast("long").alias("_key"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_src"), sizes.alias("_size"),
+        (-F.log(uniform(F.col(key), seed)) / w).alias("_es"),
+    )
+    return rows.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_es"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
 
 
 def targets(rows: DataFrame, cycle: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -96,10 +94,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: str |
     What a source's fraction takes is a prefix by (exponential key, key, size), so one bound for each source says it and texts
     aren't moved. Rows that are equal in all three are taken together.
     """
-    columns = docs.columns
     rows = keyed(docs, key=key, text=text, size=size, source=source, weight=weight, seed=seed)
     out = decided(staged(rows.select("_key", "_src", "_size", "_es", "_cell"), "sizes"), **shares)
     place = F.struct("_es", "_key", "_size")
     bounds = staged(out.groupBy("_src").agg(F.max(F.when(F.col("_extra"), place)).alias("_last"), F.max("_epochs").alias("_epochs")), "bounds")
     times = F.col("_epochs") + F.coalesce(place <= F.col("_last"), F.lit(False)).cast("long")
-    return rows.join(bounds, "_src").withColumn("_time", F.explode(F.sequence(F.lit(0), times.cast("int")))).where(F.col("_time") > 0).select(*columns)
+    return rows.join(bounds, "_src").withColumn("_time", F.explode(F.sequence(F.lit(0), times.cast("int")))).where(F.col("_time") > 0).select("_row.*")

@@ -98,10 +98,14 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", to: str = "fingerprint") -> DataFrame:
-    """docs' own columns and the fingerprint of each whole text. Null counts as empty; equal texts have equal fingerprints."""
+    """docs' own columns and the fingerprint of each whole text. Null counts as empty; equal texts have equal fingerprints.
+
+    A column that is already named so is replaced.
+    """
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
+    docs = docs.drop(to) if to != text else docs
     at = docs.columns.index(text)
 
     def run(batches):

@@ -104,26 +104,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return Voter(x, got.y.to_numpy())
 
 
-def score(docs: DataFrame, voter: Voter, *, text: str = "text") -> DataFrame:
-    """docs' own columns, then score (0 to 1) and predicted (1 from 0.5 on). Only the text is an input of the score.
+def score(docs: DataFrame, voter: Voter, *, text: str = "text", to: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' own columns, then a score (0 to 1) and a prediction (1 from 0.5 on), named by `to`. Only the text is an input of the score.
 
-    Null and empty texts have no features and score the labels' mean.
+    Null and empty texts have no features and score the labels' mean. Equal texts score alike; columns that are already named so are
+    replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     known = spark.sparkContext.broadcast(voter)
-    fresh = [c for c in ("score", "predicted") if c in docs.columns]
-    if fresh:
-        raise ValueError(f"docs already has {fresh}")
-    schema = pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
+    docs = docs.drop(*(c for c in to if c != text))
     at = docs.columns.index(text)
 
     def run(batches):
         for b in slices(batches):
             texts = b.column(at).to_pylist()
             s = known.value.score(np.stack([counts(t or "") for t in texts])) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], schema=pa.schema([*b.schema, *schema]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, *to])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to[0], T.DoubleType()), T.StructField(to[1], T.IntegerType())]))

@@ -119,7 +119,7 @@ class WindowIndex:
         return self.spark.table(at)
 
     def compact(self) -> None:
-        """Merges all runs into one; the old ones go after the new one is complete."""
+        """Merges all runs into one; the old ones go after the new one is complete, so results of `add` must have been written by then."""
         import functools
 
         old = self.runs()
@@ -137,6 +137,8 @@ class WindowIndex:
         """
         spark, window, gram = self.spark, self.window, self.gram
         ship(spark)
+        if len(self.runs()) > self.most_runs:  # before this batch's plans read them
+            self.compact()
         old = self.runs()
         if old and history is None:
             raise ValueError("verification needs the documents that the index has seen")
@@ -167,8 +169,6 @@ class WindowIndex:
         each = found.repartition(self.buckets, "h").select("h", "k1", "k2", "first", "is_new", F.posexplode("digests").alias("i", "d"))
         same = Window.partitionBy("h", "d")  # within what is there for an anchor: nothing moves
         masks = each.withColumn("n", F.count("*").over(same)).where("n > 1 AND is_new").groupBy("h", "k1", "k2", "first").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
-        if len(old) >= self.most_runs:
-            self.compact()
         return masks.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("covered"))
 
     def _windows(self, docs: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
