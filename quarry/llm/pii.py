@@ -113,7 +113,9 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-NAMES = ("email", "ip", "card", "phone", "digits", "letters", "length", "groups", "longest", "shortest", "blanks", "hyphens", "dots", "luhn", "parts_fit", "plus", "brackets", "known_head", "glued_before", "glued_after", "hint", "against", "digits_near", "same_digit")
+#: Ends of e-mail addresses that are common enough to tell one that is spelled out with plain words.
+TAILS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk")
+NAMES = ("email", "ip", "card", "phone", "digits", "letters", "length", "groups", "longest", "shortest", "blanks", "hyphens", "dots", "luhn", "parts_fit", "plus", "brackets", "known_part", "glued_before", "glued_after", "hint", "against", "digits_near", "same_digit")
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -123,7 +125,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     return [
         *(float(kind == k) for k in range(4)), len(digits), sum(c.isalpha() for c in span), end - start, len(groups), max(groups, default=0), min(groups, default=0),
         span.count(" "), span.count("-"), span.count("."), float(bool(digits) and luhn(digits)), float(all(int(g) <= 255 for g in _GROUP.findall(span) if len(g) < 10) and max(groups, default=0) <= 3),
-        float(span[0] == "+" or span[:2] == "00"), float("(" in span), float(digits[:1] in ("3", "4", "5", "6")),
+        float(span[0] == "+" or span[:2] == "00"), float("(" in span), float(span.rpartition(" ")[2].rpartition(".")[2].strip(")]}").lower() in TAILS if kind == 0 else digits[:1] in ("3", "4", "5", "6")),
         float(bool(before) and (before[-1].isalnum() or before[-1] in "-._+")), float(bool(after) and (after[0].isalnum() or after[0] in "-_")),
         float(_HINTS[kind].search(before) is not None), float(_AGAINST.search(before) is not None), sum(c.isdigit() for c in before[-8:] + after[:8]), max((digits.count(c) for c in set(digits)), default=0),
     ]
@@ -196,8 +198,11 @@ def examples(rng: np.random.Generator, n: int):
         tail = pick(" ", ", ", ". ", "\n", " ") + word()
         cue = {0: pick("mail ", "contact ", "", ""), 1: pick("ip ", "host ", "", ""), 2: pick("card ", "", ""), 3: pick("call ", "tel ", "phone ", "", "")}[kind] if good else pick("order ", "ref ", "version ", "token ", "", "id ", "total ")
         if kind == 0:
-            at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")) if good else (" at ", ".")
-            span = f"{word()}{pick('', '.' + num(2), '.' + word())}{at}{word()}{dot}{pick('com', 'org', word())}" if good else f"{word()}{at}{word()}{dot} {word()}"
+            at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."))
+            if not good:
+                at, dot = pick((" at ", ". "), (" at ", " dot "), (" at ", " dot "))
+            end = pick(*TAILS) if good and (at == " at " or rng.random() < 0.7) else word()
+            span = f"{word()}{pick('', '.' + num(2), '.' + word()) if good else ''}{at}{word()}{dot}{end}"
         elif kind == 1:
             parts = [str(int(v)) for v in rng.integers(0, 256, 4)]
             span = pick(" . ", "[.]", ". ", ".").join(parts) if good else pick(".", ". ").join(str(int(v)) for v in rng.integers(200, 999, 4))
