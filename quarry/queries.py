@@ -184,7 +184,7 @@ def g19_stop_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT {_PATH} AS path, 'PROGRAM-ID' AS clause, 'CUST-' || o_custkey AS value, 'MAIN-PARA' AS paragraph FROM orders")
 def g03_g14_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compiled_orders(spark, sf_dir)
+    c = Compilation(synth.order_programs(read(spark, sf_dir, "orders")))
     return c.clauses.select("path", "clause", "value").join(c.paragraphs.select("path", F.col("name").alias("paragraph")), "path")
 
 
@@ -231,7 +231,7 @@ def r01_synchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT list_extract(['DISPLAY', 'MOVE', 'ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE', 'CALL', 'MOVE'], (o_orderkey % 8 + 1)::INT) AS opcode, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def i01_i08_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled_orders(spark, sf_dir).ir.groupBy("opcode").agg(F.count("*").alias("n"))
+    return Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).ir.groupBy("opcode").agg(F.count("*").alias("n"))
 
 
 _LINES = f"""CASE o_orderkey % 8 WHEN 0 THEN 'DISPLAY O-' || o_orderkey WHEN 1 THEN 'MOVE ' || {_N} || ' -> O-' || o_orderkey WHEN 2 THEN 'ADD ' || {_N} || ' TO O-' || o_orderkey
