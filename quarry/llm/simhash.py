@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, row_id, ship, slices, staged
@@ -77,11 +77,12 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     if same:
         label[n:] = np.arange(n)
     step = max(1, (1 << 18) // m)
+    left, right = ([np.ascontiguousarray(x[:, w]) for w in range(min(2, x.shape[1]))] for x in (a, b))
     for at in range(0, n, step):
         part, to = a[at : at + step], (at if same else 0)  # of a tile with itself only what is to the right
-        apart = np.bitwise_count(part[:, None, 0] ^ b[None, to:, 0])
-        for w in range(1, min(2, a.shape[1])):
-            apart += np.bitwise_count(part[:, None, w] ^ b[None, to:, w])
+        apart = np.bitwise_count(left[0][at : at + step, None] ^ right[0][None, to:])
+        for x, y in zip(left[1:], right[1:], strict=True):
+            apart += np.bitwise_count(x[at : at + step, None] ^ y[None, to:])
         near = np.flatnonzero(apart <= radius)
         if not len(near):
             continue
@@ -108,14 +109,29 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     return docs.select(F.col(key).cast("long").alias("key"), *row_id(key, text), F.col(text).cast("string").alias("t")).mapInArrow(run, "key long, _k long, _h long, fp binary, ones int")
 
 
+#: Stands for a null key among nodes: the greatest, so that it names a component only if all keys in it are null.
+_NO_FIRST = (1 << 63) - 1
+
+
+def node(first: Column, fp: Column) -> Column:
+    """A fingerprint as a node: 8 bytes for the least key that has it, in the order of keys, then the fingerprint."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.coalesce(first, F.lit(_NO_FIRST)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), fp)
+
+
+def first_of(node: Column) -> Column:
+    """The key that a node starts with."""
+    key = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.nullif(key, F.lit(_NO_FIRST))
+
+
 def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFrame:
-    """prints: distinct fp with ones. Returns links (a, b) that connect all fingerprints within the radius, a forest for each tile pair."""
+    """prints: distinct node with ones. Returns links (a, b) of nodes that connect all fingerprints within the radius, a forest for each tile pair."""
     spark = prints.sparkSession
     n, words, width = partitions(spark), bits // 64, max(1, radius // 8)
     reach = (radius + width - 1) // width  # classes further apart differ by more than the radius
-    rows = prints.select("fp", F.floor(F.col("ones") / width).cast("int").alias("c"))
+    rows = prints.select("node", F.floor(F.col("ones") / width).cast("int").alias("c"))
     classes = rows.groupBy("c").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # at most bits + 1 rows
-    tiles = rows.join(F.broadcast(classes), "c").groupBy("c", F.pmod(F.xxhash64("fp"), "tiles").cast("int").alias("k")).agg(F.listagg("fp").alias("blob"))
+    tiles = rows.join(F.broadcast(classes), "c").groupBy("c", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("k")).agg(F.listagg("node").alias("blob"))
     tiles = staged(tiles, "tiles")
     left = (
         tiles.select(F.col("c").alias("ac"), F.col("k").alias("ak"), F.col("blob").alias("a"))
@@ -128,9 +144,10 @@ def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFr
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_py(), ">u8").astype(np.uint64).reshape(-1, words) for c in (0, 1))
-                u, v = forest(a, b, radius, batch.column(2)[i].as_py())
-                both = a if batch.column(2)[i].as_py() else np.concatenate([a, b])
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), ">u8").astype(np.uint64).reshape(-1, 1 + words) for c in (0, 1))
+                same = batch.column(2)[i].as_py()
+                u, v = forest(a[:, 1:], b[:, 1:], radius, same)
+                both = a if same else np.concatenate([a, b])
                 yield pa.RecordBatch.from_pydict({x: pa.array([r.tobytes() for r in both[at].astype(">u8")], pa.binary()) for x, at in (("a", u), ("b", v))})
 
     ship(spark)
@@ -149,11 +166,12 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
 
 def _grouped(docs: DataFrame, key: str, text: str, words: int, bits: int, radius: int, tile: int) -> DataFrame:
     rows = staged(fingerprints(docs, key=key, text=text, words=words, bits=bits), "fingerprints")
-    prints = staged(rows.groupBy("fp").agg(F.min("key").alias("first"), F.first("ones").alias("ones")), "distinct")
+    prints = rows.groupBy("fp").agg(F.min("key").alias("first"), F.first("ones").alias("ones"))
+    prints = staged(prints.select("fp", node(F.col("first"), F.col("fp")).alias("node"), "ones"), "distinct")
     roots = components(staged(links(prints, radius, bits, tile), "forest"))
-    roots = prints.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = staged(roots.join(least, "root").select("fp", "root", "component_id"), "members")
+    # nodes start with their least key, so a component's root names it: no group is brought together
+    root = F.coalesce("root", "node")
+    of = staged(prints.join(roots, "node", "left").select("fp", root.alias("root"), first_of(root).alias("component_id")), "members")
     return rows.join(of, "fp")
 
 

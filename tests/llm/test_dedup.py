@@ -82,13 +82,21 @@ def test_links_of_wide_and_narrow_fingerprints(spark):
         seeds = rng.integers(0, 2, (40, bits))
         rows = np.concatenate([seeds] + [np.where(rng.random(seeds.shape) < p, 1 - seeds, seeds) for p in (0.02, 0.05, 0.2)])
         prints = sorted({np.packbits(r).tobytes() for r in rows})
-        df = spark.createDataFrame([(bytearray(p), int.from_bytes(p, "big").bit_count()) for p in prints], "fp binary, ones int")
-        got = {bytes(r.node): bytes(r.root) for r in components(simhash.links(df, radius, bits, tile)).collect()}
+        df = spark.createDataFrame([(7, bytearray(p), int.from_bytes(p, "big").bit_count()) for p in prints], "k long, fp binary, ones int")
+        df = df.select(simhash.node(F.col("k"), F.col("fp")).alias("node"), "ones")
+        got = {bytes(r.node)[8:]: bytes(r.root)[8:] for r in components(simhash.links(df, radius, bits, tile)).collect()}
         n = [int.from_bytes(p, "big") for p in prints]
         roots = closed(len(n), lambda i, j, n=n, radius=radius: (n[i] ^ n[j]).bit_count() <= radius)
         assert [got.get(p, p) for p in prints] == [prints[r] for r in roots]
 
 
+def test_nodes_are_in_the_order_of_keys(spark):
+    keys = [None, 5, -1, 0, -(1 << 63), (1 << 63) - 2, 300]
+    rows = spark.createDataFrame([(k, bytearray(b"x")) for k in keys], "k long, fp binary").select("k", simhash.node(F.col("k"), F.col("fp")).alias("n")).select("k", "n", simhash.first_of(F.col("n")).alias("b")).collect()
+    assert all(r.k == r.b for r in rows)
+    assert [r.k for r in sorted(rows, key=lambda r: bytes(r.n))] == sorted(k for k in keys if k is not None) + [None]
+
+
 def test_near_copies_go_and_others_stay(spark):
     def edited(seed, words, n):
         w = prose(seed, words).split()
