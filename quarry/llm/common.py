@@ -64,8 +64,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per context, so that Python workers import it whatever their path is."""
+    """Sends this package to the executors once per context, so that Python workers import it whatever their path is.
+
+    Rows then go to Python in Arrow batches of at most ARROW_BYTES, so that texts of any length take little memory there.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_quarry_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -100,6 +104,7 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+ARROW_BYTES = 8 << 20
 #: Stands for a null key where one is joined by it.
 NO_KEY = -(1 << 63)
 
