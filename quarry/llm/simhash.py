@@ -4,6 +4,9 @@ Distinct fingerprints are put in tiles by population count. Every two tiles whos
 compared in full, with exclusive-or and bit counts; other tile pairs can't hold a link and are skipped. A tile pair gives a
 spanning forest of its links, at most one for each fingerprint, never all pairs. The work grows with the square of the number of
 distinct fingerprints over the number of classes of population count; memory does not grow, as a task holds two tiles.
+
+`near_groups` links what the fingerprints link. `near_deduplicated` takes them as a search for candidates only: what they connect in
+a tile pair goes on as pieces of bounded size, where the sets of shingles of every two candidates are compared exactly.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, partitions, row_id, ship, slices, staged
+from .common import only, partitions, row_id, ship, slices, staged, text_or_empty
 from .components import components
 
 TILE = 4096
+#: Bytes of texts that are compared exactly in one piece.
+PIECE = 8 << 20
+#: Near copies share at least 4 of 5 of what the sets of their shingles have together.
+SHARED, OF = 4, 5
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -43,7 +50,10 @@ def mixed_again(h: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int, bits: int) -> bytes:
     """A bit, from the highest down, is 1 if it is set in over half the shingles' hashes. A text without words gives zero."""
-    h = shingle_hashes(text, words)
+    return majorities(shingle_hashes(text, words), bits)
+
+
+def majorities(h: np.ndarray, bits: int) -> bytes:
     out = []
     for n in range(bits // 64):
         g = h if n == 0 else mixed_again(h, n)
@@ -77,7 +87,8 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     if same:
         label[n:] = np.arange(n)
     step = max(1, (1 << 18) // m)
-    left, right = ([np.ascontiguousarray(x[:, w]) for w in range(min(2, x.shape[1]))] for x in (a, b))
+    lead = next((w for w in (1, 2) if 32 * w - 8 * w**0.5 >= radius), 3)  # words in which few unlike texts come within the radius
+    left, right = ([np.ascontiguousarray(x[:, w]) for w in range(min(lead, x.shape[1]))] for x in (a, b))
     for at in range(0, n, step):
         part, to = a[at : at + step], (at if same else 0)  # of a tile with itself only what is to the right
         apart = np.bitwise_count(left[0][at : at + step, None] ^ right[0][None, to:])
@@ -87,7 +98,7 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
         if not len(near):
             continue
         i, j = near // (m - to), near % (m - to) + to
-        if a.shape[1] > 2:  # the first 128 bits leave few to compare in full
+        if a.shape[1] > lead:
             ok = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
             i, j = i[ok], j[ok]
         union(label, i + at, label[j + n] if same else j + n)
@@ -124,10 +135,9 @@ def first_of(node: Column) -> Column:
     return F.nullif(key, F.lit(_NO_FIRST))
 
 
-def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFrame:
-    """prints: distinct node with ones. Returns links (a, b) of nodes that connect all fingerprints within the radius, a forest for each tile pair."""
-    spark = prints.sparkSession
-    n, words, width = partitions(spark), bits // 64, max(1, radius // 8)
+def _tile_pairs(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """prints: distinct node with ones. Returns (ac, ak, c, k, a, b, same): every two tiles that may hold a link, and their places."""
+    n, width = partitions(prints.sparkSession), max(1, radius // 8)
     reach = (radius + width - 1) // width  # classes further apart differ by more than the radius
     rows = prints.select("node", F.floor(F.col("ones") / width).cast("int").alias("c"))
     classes = rows.groupBy("c").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # at most bits + 1 rows
@@ -139,19 +149,153 @@ def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFr
         .join(F.broadcast(classes), "c").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .where("c > ac OR k >= ak").drop("tiles").repartition(n, "c", "k")
     )
-    pairs = left.join(tiles.withColumnRenamed("blob", "b").repartition(n, "c", "k").hint("shuffle_hash"), ["c", "k"]).select("a", "b", ((F.col("c") == F.col("ac")) & (F.col("k") == F.col("ak"))).alias("same"))
+    pairs = left.join(tiles.withColumnRenamed("blob", "b").repartition(n, "c", "k").hint("shuffle_hash"), ["c", "k"])
+    return pairs.select("ac", "ak", F.col("c").cast("int").alias("c"), F.col("k").cast("int").alias("k"), "a", "b", ((F.col("c") == F.col("ac")) & (F.col("k") == F.col("ak"))).alias("same"))
+
+
+def _both_tiles(batches, width: int):
+    """(place, a, b, same) of each tile pair; a and b have so many 8-byte numbers a row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(c)[i].as_py(), ">u8").astype(np.uint64).reshape(-1, width) for c in ("a", "b"))
+            yield tuple(batch.column(c)[i].as_py() for c in ("ac", "ak", "c", "k")), a, b, batch.column("same")[i].as_py()
+
+
+def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFrame:
+    """prints: distinct node with ones. Returns links (a, b) of nodes that connect all fingerprints within the radius, a forest for each tile pair."""
+    words = bits // 64
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_py(), ">u8").astype(np.uint64).reshape(-1, 1 + words) for c in (0, 1))
-                same = batch.column(2)[i].as_py()
-                u, v = forest(a[:, 1:], b[:, 1:], radius, same)
-                both = a if same else np.concatenate([a, b])
-                yield pa.RecordBatch.from_pydict({x: pa.array([r.tobytes() for r in both[at].astype(">u8")], pa.binary()) for x, at in (("a", u), ("b", v))})
+        for _, a, b, same in _both_tiles(batches, 1 + words):
+            u, v = forest(a[:, 1:], b[:, 1:], radius, same)
+            both = a if same else np.concatenate([a, b])
+            yield pa.RecordBatch.from_pydict({x: pa.array([r.tobytes() for r in both[at].astype(">u8")], pa.binary()) for x, at in (("a", u), ("b", v))})
+
+    ship(prints.sparkSession)
+    return _tile_pairs(prints, radius, tile).mapInArrow(run, "a binary, b binary")
+
+
+#: Sides of a piece: rows of LEFT meet those of RIGHT, rows of EACH meet each other.
+LEFT, RIGHT, EACH = 0, 1, 2
+
+
+def blocks(at: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Cuts rows into runs of at most so many bytes, or of one row."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(size[at].tolist()):
+        if i > start and held + n > most:
+            out.append(at[start:i])
+            start, held = i, 0
+        held += n
+    return [*out, at[start:]] if len(at) else out
+
+
+def pieces(u: np.ndarray, v: np.ndarray, size: np.ndarray, n: int, same: bool, most: int):
+    """Sides and rows of each piece, for the forest (u, v) of a tile pair whose first n rows are a's.
+
+    Every two rows that a forest connects meet in one piece (of two tiles: every row of a and every row of b). Small trees share a
+    piece; one of more than `most` bytes is cut into blocks, and each two blocks are a piece.
+    """
+    label = np.arange(len(size))
+    label[u] = v
+    at = np.unique(np.concatenate([u, v]))
+    at = at[np.argsort(label[at], kind="stable")]
+    plain = lambda r: (np.full(len(r), EACH) if same else np.where(r < n, LEFT, RIGHT), r)
+    held, total = [], 0
+    for tree in np.split(at, np.flatnonzero(np.diff(label[at])) + 1):
+        here = int(size[tree].sum())
+        if total and total + here > most:
+            yield plain(np.concatenate(held))
+            held, total = [], 0
+        if here <= most:
+            held.append(tree)
+            total += here
+            continue
+        left, right = (blocks(r, size, most // 2) for r in ((tree, tree) if same else (tree[tree < n], tree[tree >= n])))
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if same and i == j:
+                    yield plain(x)
+                elif not same or i < j:
+                    yield np.repeat([LEFT, RIGHT], [len(x), len(y)]), np.concatenate([x, y])
+    if held:
+        yield plain(np.concatenate(held))
+
+
+def candidates(prints: DataFrame, radius: int, bits: int, tile: int = TILE, piece: int = PIECE) -> DataFrame:
+    """prints: distinct node (with 8 more bytes after the fingerprint), ones and size. Returns (piece, side, node): every two nodes within
+    the radius meet in one piece of at most so many bytes, or of two nodes."""
+    words = bits // 64
 
+    def run(batches):
+        for place, a, b, same in _both_tiles(batches, words + 3):
+            u, v = forest(a[:, 1 : words + 1], b[:, 1 : words + 1], radius, same)
+            if not len(u):
+                continue
+            both = a if same else np.concatenate([a, b])
+            for k, (side, at) in enumerate(pieces(u, v, both[:, -1].astype(np.int64), len(a), same, piece)):
+                name = np.array([*place, k], ">i4").tobytes()
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([name] * len(at), pa.binary()), "side": pa.array(side, pa.int32()), "node": pa.array([r.tobytes() for r in both[at, :-1].astype(">u8")], pa.binary())})
+
+    ship(prints.sparkSession)
+    sized = prints.select(F.concat("node", F.unhex(F.lpad(F.hex(F.col("size").cast("long")), 16, "0"))).alias("node"), "ones")
+    return _tile_pairs(sized, radius, tile).mapInArrow(run, "piece binary, side int, node binary")
+
+
+def alike(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of a piece whose fingerprints are within the radius and whose sets are near copies, a forest of them.
+
+    Every such two rows are compared, unless links that were found before connect them.
+    """
+    label, n = np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    start, mark = np.cumsum(n) - n, np.zeros(len(values), bool)
+    right = np.flatnonzero(side != LEFT)
+    others, m = prints[right], n[right]
+    for i in np.flatnonzero((side != RIGHT) & (n > 0)).tolist():
+        ok = (label[right] != label[i]) & (OF * np.minimum(m, n[i]) >= SHARED * np.maximum(m, n[i]))
+        if side[i] == EACH:
+            ok &= right > i
+        near = np.flatnonzero(ok)
+        j = right[near[np.bitwise_count(prints[i] ^ others[near]).sum(axis=1, dtype=np.int64) <= radius]]
+        if not len(j):
+            continue
+        mine, to = ids[start[i] : start[i] + n[i]], np.cumsum(n[j]) - n[j]
+        mark[mine] = True
+        both = np.add.reduceat(mark[ids[np.repeat(start[j] - to, n[j]) + np.arange(n[j].sum())]], to, dtype=np.int64)
+        mark[mine] = False
+        j = j[OF * both >= SHARED * (n[i] + n[j] - both)]
+        union(label, np.full(len(j), i), j)
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return at, label[at]
+
+
+def alike_links(texts: DataFrame, members: DataFrame, radius: int, bits: int, words: int) -> DataFrame:
+    """texts: (_k, _h, t); members: (piece, side, node, _k, _h). Returns links (a, b) that connect near copies, from the nodes' texts."""
+
+    def linked(held):
+        nodes = list(held)
+        prints = np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64).reshape(len(nodes), -1)[:, 1 : 1 + bits // 64]
+        u, v = alike(prints, [s for _, s in held.values()], np.array([x for x, _ in held.values()]), radius)
+        return pa.RecordBatch.from_pydict({x: pa.array([nodes[k] for k in at], pa.binary()) for x, at in (("a", u), ("b", v))})
+
+    def run(batches):
+        now, held = None, {}
+        for b in slices(batches):
+            for name, side, at, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != now and held:
+                    yield linked(held)
+                    held = {}
+                now = name
+                if at not in held:  # rows that repeat have the same text
+                    held[at] = side, np.unique(shingle_hashes(t, words))
+        if held:
+            yield linked(held)
+
+    spark = texts.sparkSession
     ship(spark)
-    return pairs.mapInArrow(run, "a binary, b binary")
+    rows = texts.join(members.hint("merge"), ["_k", "_h"]).select("piece", "side", "node", "t")
+    return rows.repartition(partitions(spark), "piece").sortWithinPartitions("piece").mapInArrow(run, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -175,13 +319,33 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, bits: int, radius
     return rows.join(of, "fp")
 
 
-def near_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 256, radius: int = 52, tile: int = TILE) -> DataFrame:
+def near_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 256, radius: int = 72, tile: int = TILE, piece: int = PIECE) -> DataFrame:
     """docs' own columns, one row of each group of near copies: the one with the least key.
 
-    Fingerprints of 256 bits tell how alike two texts are: at a similarity J of the sets of their five-word shingles, they differ in
-    256 acos(2J / (1 + J)) / pi bits, give or take 6. Radius 52 lets a pair with J = 0.8 (39 bits) pass by two deviations; unlike
-    texts differ in 128.
+    Near copies are texts whose sets of five-word shingles (as 64-bit hashes) have a similarity J of 0.8 or more; links are closed
+    transitively, so a row that goes has a near copy, which may be another one than the row that stays. Fingerprints of 256 bits only
+    tell which pairs to compare exactly: they differ in 256 acos(2J / (1 + J)) / pi bits, give or take 6, which is 39 at J = 0.8, and
+    48 for texts of 4 and 5 shingles. Radius 72 lets a pair from 0.8 on pass by four deviations; unlike texts differ in 128.
     """
-    rows = _grouped(docs, key, text, words, bits, radius, tile)
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "_k", "_h")).alias("s")).select("s._k", "s._h")
+    ship(docs.sparkSession)
+    texts = docs.select(*row_id(key, text), text_or_empty(text).cast("string").alias("t"), F.col(key).cast("long").alias("key"))
+
+    def run(batches):
+        for b in slices(batches):
+            out = [[], [], [], []]
+            for t in b.column("t").to_pylist():
+                h = shingle_hashes(t, words)
+                p = majorities(h, bits)
+                for c, v in zip(out, (p, xxhash.xxh3_64_digest(np.unique(h).tobytes()), int.from_bytes(p, "big").bit_count(), len(t)), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("_k"), b.column("_h"), *(pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True))], names=["key", "_k", "_h", "fp", "of", "ones", "size"])
+
+    rows = staged(texts.mapInArrow(run, "key long, _k long, _h long, fp binary, of binary, ones int, size long"), "fingerprints")
+    prints = rows.groupBy("fp", "of").agg(F.min("key").alias("first"), F.first("ones").alias("ones"), F.min(F.struct("_k", "_h", "size")).alias("s"))
+    prints = staged(prints.select("fp", "of", node(F.col("first"), F.concat("fp", "of")).alias("node"), "ones", "s._k", "s._h", "s.size"), "distinct")
+    near = staged(candidates(prints, radius, bits, tile, piece), "candidates")
+    members = near.join(prints.select("node", "_k", "_h").hint("merge"), "node")
+    roots = components(staged(alike_links(texts.drop("key"), members, radius, bits, words), "links"))
+    of = staged(prints.join(roots, "node", "left").select("fp", "of", F.coalesce("root", "node").alias("root")), "members")
+    stays = rows.join(of, ["fp", "of"]).groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "_k", "_h")).alias("s")).select("s._k", "s._h")
     return only(docs, stays, key=key, text=text)

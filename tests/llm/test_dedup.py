@@ -109,6 +109,39 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.near_deduplicated(df, tile=16).collect()) == list(range(30))
 
 
+def shingle_set(t, words=5):
+    w = [x for x in re.split(GAP, "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if x]
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_near_copies_are_those_of_brute_force(spark, odd, none):
+    """Rows go if links of 0.8 or more, and no others, lead to a row of a lesser key; pieces small and large."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for family in range(14):  # copies of 0.3 to 0.95, some in chains
+        w = prose(500 + family, int(rng.integers(60, 400))).split()
+        base = list(w)
+        for n in range(12):
+            w = list(w if family % 2 else base)
+            for at in rng.integers(0, len(w), int(len(w) * (0.002 + 0.004 * (n + family % 3)))):
+                w[at] = f"e{family}x{n}x{at}"
+            docs.append((int(rng.integers(0, 1 << 40)), " ".join(w)))
+    docs.append((7, "a b c d e f g h"))
+    sets = [shingle_set(t) for _, t in docs]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    roots = closed(len(docs), lambda i, j: like(i, j) >= 0.8)
+    assert sum(0.55 < like(i, j) < 0.8 for i, j in itertools.combinations(range(len(docs)), 2)) > 100
+    stay = sorted(min(k for (k, _), q in zip(docs, roots, strict=True) if q == r) for r in set(roots))
+    assert 30 < len(stay) < len(docs) - 30
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for sizes in ({}, {"tile": 16, "piece": 6000}):
+        assert sorted(r.doc_id for r in simhash.near_deduplicated(df, **sizes).collect()) == stay
+    left = simhash.near_deduplicated(odd)
+    assert left.columns == odd.columns and simhash.near_deduplicated(none).count() == 0
+    kinds = texts(odd)
+    assert left.count() == len(set(closed(len(kinds), lambda i, j: (a := shingle_set(kinds[i][1])) == (b := shingle_set(kinds[j][1])) or len(a & b) >= 0.8 * len(a | b))))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5400)] + [(7, 7), (None, 3)]
