@@ -323,8 +323,8 @@ def near_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     """docs' own columns, one row of each group of near copies: the one with the least key.
 
     Near copies are texts whose sets of five-word shingles (as 64-bit hashes) have a similarity J of 0.8 or more; links are closed
-    transitively, so a row that goes has a near copy, which may be another one than the row that stays. Fingerprints of 256 bits only
-    tell which pairs to compare exactly: they differ in 256 acos(2J / (1 + J)) / pi bits, give or take 6, which is 39 at J = 0.8, and
+    transitively, so a row that goes has a near copy, which may be another one than the row that stays. Fingerprints of 256 bits, of
+    each shingle once, only tell which pairs to compare exactly: they differ in 256 acos(2J / (1 + J)) / pi bits, give or take 6, which is 39 at J = 0.8, and
     48 for texts of 4 and 5 shingles. Radius 72 lets a pair from 0.8 on pass by four deviations; unlike texts differ in 128.
     """
     ship(docs.sparkSession)
@@ -334,9 +334,9 @@ def near_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         for b in slices(batches):
             out = [[], [], [], []]
             for t in b.column("t").to_pylist():
-                h = shingle_hashes(t, words)
+                h = np.unique(shingle_hashes(t, words))  # a set, as similarity is that of sets
                 p = majorities(h, bits)
-                for c, v in zip(out, (p, xxhash.xxh3_64_digest(np.unique(h).tobytes()), int.from_bytes(p, "big").bit_count(), len(t)), strict=True):
+                for c, v in zip(out, (p, xxhash.xxh3_64_digest(h.tobytes()), int.from_bytes(p, "big").bit_count(), len(t)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("_k"), b.column("_h"), *(pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True))], names=["key", "_k", "_h", "fp", "of", "ones", "size"])
 

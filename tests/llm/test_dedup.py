@@ -142,6 +142,16 @@ def test_near_copies_are_those_of_brute_force(spark, odd, none):
     assert left.count() == len(set(closed(len(kinds), lambda i, j: (a := shingle_set(kinds[i][1])) == (b := shingle_set(kinds[j][1])) or len(a & b) >= 0.8 * len(a | b))))
 
 
+def test_repeated_lines_count_once(spark):
+    """A line that is repeated neither hides a near copy nor makes one."""
+    docs = []
+    for i in range(8):
+        line, t = " ".join(prose(900 + i, 12).split()[:12]), prose(700 + i, 220)
+        docs += [(10 * i, t), (10 * i + 1, t + f" {line}" * 12), (10 * i + 2, prose(800 + i, 100) + f" {line}" * 40), (10 * i + 3, prose(850 + i, 100) + f" {line}" * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_deduplicated(df).collect()) == sorted(k for k, _ in docs if k % 10 != 1)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5400)] + [(7, 7), (None, 3)]
