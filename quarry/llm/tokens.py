@@ -2,7 +2,8 @@
 
 A byte-level BPE without normaliser splits a text before every lone space, and around every lone line break, whatever stands
 there. So a text's ids are its words' ids in a row, and each distinct word is encoded once per worker. Texts with other or
-doubled white space are cut only before lone spaces. Tokenizers of other kinds encode each text as a whole.
+doubled white space are cut only before lone spaces. Texts that hold the string of an added token, and all texts of tokenizers of
+other kinds, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -46,11 +47,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = (
             spec["model"].get("type", "BPE") == "BPE" and not spec.get("normalizer") and not spec.get("post_processor")
@@ -90,7 +91,7 @@ class TextEncoder:
         """The whole text's ids as bytes."""
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or any(map(text.__contains__, self.added)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = ("\n" + text).replace("\n", " \n").split(" ")
         if words[0] == "" and "" not in words[1:] and "\n" not in words and text.replace("\n", "").isprintable():

@@ -29,6 +29,15 @@ def test_words_give_the_same_ids_as_whole_texts(tokenizer):
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_encoded_as_the_library_does(tokenizer):
+    from tokenizers import Tokenizer
+
+    e, plain = TextEncoder(tokenizer), Tokenizer.from_file(tokenizer)
+    for t in [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>y", "a <|endoftext| > b"]:
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(e.encode("a <|endoftext|> b"), e.dtype).tolist() == [64, 220, 50256, 275]
+
+
 def test_frames():
     data = b"".join(records.frame(k, i, 2) for k, i in ((5, b"\x01\x00"), (None, b""), (-3, b"\x02\x00\x03\x00")))
     import io
