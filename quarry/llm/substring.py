@@ -27,6 +27,7 @@ from .common import partitions, remove, scratch, ship, slices
 WINDOW, GRAM = 35, 8
 _NO_KEY = -(1 << 63)
 _LOW, _BLOCK = 24, 1 << 22
+_MASK = 31  # windows that one mask tells of; an anchor with more has several
 _GRAM_BY, _WINDOW_BY = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -168,7 +169,7 @@ class WindowIndex:
             found = found.unionByName(self._windows(history, known, key, text).withColumn("is_new", F.lit(False)))
         each = found.repartition(self.buckets, "h").select("h", "k1", "k2", "first", "is_new", F.posexplode("digests").alias("i", "d"))
         same = Window.partitionBy("h", "d")  # within what is there for an anchor: nothing moves
-        masks = each.withColumn("n", F.count("*").over(same)).where("n > 1 AND is_new").groupBy("h", "k1", "k2", "first").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
+        masks = each.withColumn("n", F.count("*").over(same)).where("n > 1 AND is_new").groupBy("h", "k1", "k2", F.expr(f"first + i - i % {_MASK}").alias("first")).agg(F.bit_or(F.expr(f"shiftleft(1, i % {_MASK})")).alias("mask"))
         return masks.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("covered"))
 
     def _windows(self, docs: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
@@ -215,8 +216,8 @@ def without_repeats(docs: DataFrame, index: WindowIndex, *, key: str = "doc_id",
                 words = t.encode("utf-8", "replace").split()
                 n = len(words)
                 if first:
-                    bits = np.array(mask, np.int64)[:, None] >> np.arange(window) & 1
-                    gone = cover(n, (np.array(first)[:, None] + np.arange(window))[bits.astype(bool)], window)
+                    bits = np.array(mask, np.int64)[:, None] >> np.arange(_MASK) & 1
+                    gone = cover(n, (np.array(first)[:, None] + np.arange(_MASK))[bits.astype(bool)], window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 joined = b" ".join(words)
                 for c, v in zip(cols, (None if k1 == _NO_KEY else k1, n, n - len(words), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None), strict=True):

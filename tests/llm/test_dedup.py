@@ -271,6 +271,17 @@ def test_window_index_in_batches(spark, tmp_path):
     assert len(index.runs()) == 1 and index.runs()[0].count() == total
 
 
+def test_repeats_of_wide_windows(spark, tmp_path):
+    """An anchor may have more windows than an int has bits."""
+    shared = [prose(40 + i, 150 + 30 * i) for i in range(4)]
+    docs = [(10 * i + j, f"{prose(200 + 10 * i + j, 45)} {t} {prose(300 + 10 * i + j, 60)}") for i, t in enumerate(shared) for j in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for window, gram in ((50, 8), (39, 8), (120, 4)):
+        index = substring.WindowIndex(spark, f"file://{tmp_path}/wide-{window}", window=window, gram=gram, buckets=4)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(df, index).collect()}
+        assert [got[k] for k, _ in docs] == brute_repeats([t for _, t in docs], window)
+
+
 def test_words_in(spark):
     values = [None, "", " ", "a", " a b ", "a b", "a\x0bb\tc\r\nd", "\na", "a\n", "x" * 10]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").select("i", common.words_in(F.col("t")).alias("n"))
