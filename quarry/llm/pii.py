@@ -43,6 +43,12 @@ def digits_of(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def is_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255; int() refuses very long ones."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the four patterns, leftmost and not overlapping within a kind; a match that fails its test is dropped."""
     found = []
@@ -51,7 +57,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text) is None:
         return found
     if "." in text:
-        found += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, *m.span()) for m in _IP.finditer(text) if all(map(is_byte, m[0].split(".")))]
     found += [(2, *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(3, *m.span()) for m in _PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]

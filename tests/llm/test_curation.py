@@ -84,6 +84,13 @@ def test_base_spans_follow_the_patterns():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_addresses_with_very_long_parts():
+    assert pii.base_spans("1.2.3." + "9" * 5000) == [] and pii.base_spans("at " + "1" * 5000 + ".2.3.4 x") == []
+    zeros = "1.2.3." + "0" * 5000
+    assert pii.base_spans(zeros) == [(1, 0, len(zeros))] and pii.base_spans(zeros + "255") == [(1, 0, len(zeros) + 3)] and pii.base_spans(zeros + "256") == []
+    assert pii.Chooser().spans("1.2.3." + "9" * 5000)[1] == []
+
+
 def test_added_spans():
     choose = pii.Chooser()
     for kind in range(4):  # on examples that neither trees nor thresholds have seen
