@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import os
 import tempfile
 import uuid
@@ -36,7 +38,68 @@ def shared_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = sc._quarry_root = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system; one without a scheme is in the cluster's default file system."""
+    fs, at = file_system(spark, path)
+    full = fs.makeQualified(at).toString().rstrip("/")
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as Hadoop has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, at = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def table_name(kind: str, path: str) -> str:
+    """A catalog name that no other path has."""
+    return f"{kind}_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+class Manifest:
+    """What counts of a folder of immutable files: numbered JSON files, of which the last one holds.
+
+    A change is one rename of a finished file to the next number, so a driver that is lost at any point leaves the old state or the
+    new one. One driver writes to a folder at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, f"{path}/_manifest"  # Spark's readers skip names with an underscore
+
+    def read(self) -> dict:
+        """The state, empty where none has been written."""
+        numbers = self._numbers()
+        if not numbers:
+            return {}
+        fs, at = file_system(self.spark, f"{self.path}/{numbers[-1]:012d}.json")
+        stream = fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _numbers(self) -> list[int]:
+        return [int(n[:-5]) for n in names_in(self.spark, self.path) if n.endswith(".json")]
+
+    def write(self, state: dict) -> None:
+        numbers = self._numbers()
+        to = f"{self.path}/{(numbers or [0])[-1] + 1:012d}.json"
+        fs, beside = file_system(self.spark, f"{self.path}/new-{uuid.uuid4().hex}")
+        stream = fs.create(beside, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if not fs.rename(beside, file_system(self.spark, to)[1]):
+            raise OSError(f"{to} can't be written")
+        for n in numbers[:-1]:  # the one before stays, for whoever is reading it now
+            remove(self.spark, f"{self.path}/{n:012d}.json")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

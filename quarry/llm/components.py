@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Both steps only take minima and equi-joins: no neighbour list is ever gathered, a hub with millions of links is pre-aggregated, and
-its rows in a join can be split. Each step is written to the shared folder, so that lineage stays short.
+Both steps only take minima and equi-joins: no neighbour list is ever gathered. Minima are aggregated before they move. A hub's links
+don't meet in one task: nodes with more than their share of the links are so few that their minima are broadcast, and only the links
+of the others are dealt by node. Each step is written to the shared folder, so that lineage stays short.
 """
 
 from __future__ import annotations
@@ -9,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch
+from .common import partitions, remove, scratch
+
+#: More rounds than any input needs: two steps at least halve the longest way within a component.
+ROUNDS = 1000
+#: Links that no hub has, whatever the number of partitions.
+FEW = 64
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     spark, schema, old = links.sparkSession, None, None
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     state = None
-    for n in range(1000):
+    for n in range(ROUNDS):
         path = scratch(spark, f"links-{n}")
         edges.write.parquet(path)
         schema = schema or edges.schema
@@ -32,19 +38,30 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now.n:
             break
         state = now
-        edges = _small_star(_large_star(edges))
+        # a node with more than `many` of the 2n ends of links is a hub: there are at most 8 for each partition
+        many = max(FEW, now.n // (4 * partitions(spark)))
+        edges = _small_star(_large_star(edges, many), many)
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """edges (u, v) with m, what `least` (u, m, n) has for u: hubs' by broadcast, the others' by a join on u."""
+    hubs = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m").hint("merge"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, many: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, many).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    out = _with_least(edges, least, many).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

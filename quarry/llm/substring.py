@@ -4,7 +4,7 @@ Each window of WINDOW consecutive words has an anchor: of the runs of GRAM words
 of equals. Equal windows have equal anchors at equal places, so only windows whose anchor's hash occurs twice can repeat. About one
 in fifteen positions is an anchor; their hashes are what the index holds.
 
-Each batch writes one immutable run: a table of (anchor hash, document, place), in buckets by hash and sorted within them, so that
+Each batch writes one immutable run: tables of anchor hashes and of their places, in buckets by hash and sorted within them, so that
 runs meet in merge joins that move nothing. Anchors that also occur elsewhere, in the batch or in an older run, are candidates; the
 texts of just those documents then give digests of the whole windows, which verify each candidate. Runs are compacted into one when
 there are many. Verification reads old documents' texts from where they are kept (`history`); the index has none.
@@ -12,8 +12,8 @@ there are many. Verification reads old documents' texts from where they are kept
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
 import uuid
 
 import numpy as np
@@ -22,15 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, remove, scratch, ship, slices
+from .common import Manifest, names_in, partitions, qualified, remove, scratch, ship, slices, staged, table_name
 
 WINDOW, GRAM = 35, 8
 _NO_KEY = -(1 << 63)
 _LOW, _BLOCK = 24, 1 << 22
 _MASK = 31  # windows that one mask tells of; an anchor with more has several
+#: Places that no hash is split for, however few there are in all.
+FEW = 1024
 _GRAM_BY, _WINDOW_BY = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
+def share(rows: int, parts: int) -> int:
+    """A quarter of what a part has of the rows: at most 4 keys a part have more."""
+    return max(FEW, rows // (4 * parts))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -92,56 +99,106 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 class WindowIndex:
-    """The runs of anchor hashes under a path in the shared folder. Opening the path again, in any session, finds the runs there."""
+    """The runs of anchor hashes under a path in the shared folder. Opening the path again, in any session, finds the runs there.
+
+    A run has two tables, in buckets and sorted: keys (h, n, salts), how often an anchor hash occurs, and places (h, s, k1, k2, place).
+    s is 0, but the places of a hash that has more than its share of them (FEW at least, a quarter of a bucket's) are dealt to `salts`
+    numbers s, and so to as many buckets: a line that a third of all documents have fills no task alone. At most 4 hashes for each
+    bucket can have that many, so what tells them is broadcast.
+
+    A manifest names the runs that count, each with the batches in it. A run is named there once it is whole, and a merged run in one
+    change with those it replaces; other folders are what a lost driver left, and go before the next batch.
+    """
 
     def __init__(self, spark: SparkSession, path: str, *, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, most_runs: int = 8):
         if not 0 < gram <= window:
             raise ValueError("an anchor has 1 to `window` words")
-        self.spark, self.path, self.window, self.gram, self.most_runs = spark, path.rstrip("/"), window, gram, most_runs
+        self.spark, self.path, self.window, self.gram, self.most_runs = spark, qualified(spark, path), window, gram, most_runs
         self.buckets = buckets or partitions(spark)
+        self.manifest = Manifest(spark, self.path)
+        state = self.manifest.read()
+        if not state:
+            self.manifest.write({"window": window, "gram": gram, "runs": []})
+        elif (state["window"], state["gram"]) != (window, gram):
+            raise ValueError(f"the index at {path} is of windows of {state['window']} words with anchors of {state['gram']}")
 
-    def runs(self) -> list[DataFrame]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-        return [self._table(n) for n in names if n.startswith("run-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+    def runs(self) -> list[dict]:
+        """The runs that count, in the order in which their batches came: name, batches, places (a number), buckets."""
+        return self.manifest.read()["runs"]
 
-    def _table(self, name: str) -> DataFrame:
-        buckets = int(name.split("-")[2])
-        at = "anchor_" + re.sub(r"\W", "_", f"{self.path}_{name}")[-100:]
+    def places(self, run: dict) -> DataFrame:
+        return self._table(run, "places", "h long, s int, k1 long, k2 long, place int", "h, s")
+
+    def keys(self, run: dict) -> DataFrame:
+        return self._table(run, "keys", "h long, n long, salts int", "h")
+
+    def _table(self, run: dict, kind: str, columns: str, by: str) -> DataFrame:
+        at = table_name(f"anchor_{kind}", f"{self.path}/{run['name']}")
         if not self.spark.catalog.tableExists(at):
-            self.spark.sql(f"CREATE TABLE {at} (h long, k1 long, k2 long, place int) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"CREATE TABLE {at} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/{run['name']}/{kind}'")
         return self.spark.table(at)
 
-    def _write(self, rows: DataFrame, level: int) -> DataFrame:
-        name = f"run-{level:02d}-{self.buckets}-{uuid.uuid4().hex[:8]}"
-        at = "anchor_" + re.sub(r"\W", "_", f"{self.path}_{name}")[-100:]
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(at)
-        return self.spark.table(at)
+    def _put(self, rows: DataFrame, run: dict, kind: str, by: list[str]) -> None:
+        at = table_name(f"anchor_{kind}", f"{self.path}/{run['name']}")
+        rows.repartition(run["buckets"], *by).sortWithinPartitions(*by).write.format("parquet").bucketBy(run["buckets"], *by).sortBy(*by).option("path", f"{self.path}/{run['name']}/{kind}").saveAsTable(at)
+
+    def _write(self, placed: DataFrame, batches: list[str]) -> dict:
+        """Writes a run of stored rows (h, k1, k2, place), which doesn't count yet."""
+        run = {"name": f"run-{uuid.uuid4().hex}", "batches": batches, "places": placed.count(), "buckets": self.buckets}
+        many = share(run["places"], self.buckets)
+        keys = placed.groupBy("h").agg(F.count("*").alias("n"))
+        self._put(keys.select("h", "n", F.ceil(F.col("n") / many).cast("int").alias("salts")), run, "keys", ["h"])
+        hot = F.broadcast(self.keys(run).where("salts > 1").select("h", "salts"))
+        s = F.coalesce(F.pmod(F.xxhash64("k1", "k2"), F.col("salts")).cast("int"), F.lit(0))
+        self._put(placed.join(hot, "h", "left").select("h", s.alias("s"), "k1", "k2", "place"), run, "places", ["h", "s"])
+        return run
+
+    def _clean(self) -> None:
+        """Removes what a lost driver left."""
+        known = {r["name"] for r in self.runs()}
+        for n in names_in(self.spark, self.path):
+            if n.startswith("run-") and n not in known:
+                remove(self.spark, f"{self.path}/{n}")
 
     def compact(self) -> None:
-        """Merges all runs into one; the old ones go after the new one is complete, so results of `add` must have been written by then."""
-        import functools
-
-        old = self.runs()
-        if len(old) > 1:
-            paths = {p.rsplit("/", 1)[0] for r in old for p in r.inputFiles()}
-            self._write(functools.reduce(DataFrame.unionByName, old), 1)
-            for p in paths:
-                remove(self.spark, p)
-
-    def add(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
+        """Merges all runs into one. The old ones go once the new one counts, so results of `add` must have been written by then."""
+        self._clean()
+        state = self.manifest.read()
+        if len(state["runs"]) > 1:
+            rows = functools.reduce(DataFrame.unionByName, [self.places(r).select("h", "k1", "k2", "place") for r in state["runs"]])
+            self.manifest.write(state | {"runs": [self._write(rows, [b for r in state["runs"] for b in r["batches"]])]})
+            self._clean()
+
+    def _run(self, placed: DataFrame, batch: str) -> tuple[dict, list[dict]]:
+        """The batch's run and those before it; the run is made unless the batch is in the index."""
+        runs = self.runs()
+        for i, r in enumerate(runs):
+            if r["batches"] == [batch]:
+                return r, runs[:i]
+            if batch in r["batches"]:
+                raise ValueError(f"batch {batch!r} is in the index and merged with others")
+        if len(runs) > self.most_runs:  # before this batch's plans read them
+            self.compact()
+        self._clean()
+        state, path = self.manifest.read(), scratch(self.spark, "anchors")
+        placed.write.parquet(path)
+        run = self._write(self.spark.read.schema(placed.schema).parquet(path), [batch])
+        self.manifest.write(state | {"runs": [*state["runs"], run]})
+        remove(self.spark, path)
+        return run, state["runs"]
+
+    def add(self, docs: DataFrame, *, batch: str, key: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
         """Finds what repeats in `docs` and in documents added before, and adds docs' run.
 
         Returns (k1, k2, covered): documents with removed words, and the first windows and masks of what covers them. `history` has the
-        documents of older runs, with the same columns; it is needed once there are runs.
+        documents of older runs, with the same columns; it is needed once there are runs, and may have this batch's documents too.
+
+        `batch` names the batch. One that is in the index is not added again: it meets the runs before its own and gives the result
+        that it gave, until it is merged with others, when it raises ValueError.
         """
         spark, window, gram = self.spark, self.window, self.gram
         ship(spark)
-        if len(self.runs()) > self.most_runs:  # before this batch's plans read them
-            self.compact()
-        old = self.runs()
-        if old and history is None:
+        if history is None and any(r["batches"] != [batch] for r in self.runs()[:1]):
             raise ValueError("verification needs the documents that the index has seen")
 
         def placed(batches):
@@ -158,20 +215,39 @@ class WindowIndex:
 
         t = F.coalesce(F.col(text).cast("string"), F.lit(""))
         scanned = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("k1"), F.xxhash64(t).alias("k2"), t.alias("t"))
-        run = self._write(scanned.mapInArrow(placed, "h long, k1 long, k2 long, place int"), 0)
-        times = run.groupBy("h").agg(F.count("*").alias("n"))
+        run, old = self._run(scanned.mapInArrow(placed, "h long, k1 long, k2 long, place int"), batch)
+        times = self.keys(run)
         for r in old:  # merge joins of sorted runs
-            times = times.join(r.groupBy("h").agg(F.count("*").alias("m")).hint("merge"), "h", "left").select("h", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        repeated = times.where("n > 1").select("h")
-        found = self._windows(docs, run.join(repeated.hint("merge"), "h"), key, text).withColumn("is_new", F.lit(True))
+            times = times.join(self.keys(r).select("h", F.col("n").alias("m")).hint("merge"), "h", "left").select("h", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), "salts")
+        repeated = staged(times.where("n > 1"), "repeated")
+        found = self._windows(docs, self._at(run, repeated), key, text).withColumn("is_new", F.lit(True))
         for r in old:
-            known = r.join(run.select("h").distinct().hint("merge"), "h", "left_semi")
-            found = found.unionByName(self._windows(history, known, key, text).withColumn("is_new", F.lit(False)))
-        each = found.repartition(self.buckets, "h").select("h", "k1", "k2", "first", "is_new", F.posexplode("digests").alias("i", "d"))
-        same = Window.partitionBy("h", "d")  # within what is there for an anchor: nothing moves
-        masks = each.withColumn("n", F.count("*").over(same)).where("n > 1 AND is_new").groupBy("h", "k1", "k2", F.expr(f"first + i - i % {_MASK}").alias("first")).agg(F.bit_or(F.expr(f"shiftleft(1, i % {_MASK})")).alias("mask"))
+            known = self.keys(r).join(self.keys(run).select("h").hint("merge"), "h", "left_semi")
+            found = found.unionByName(self._windows(history, self._at(r, known), key, text).withColumn("is_new", F.lit(False)))
+        masks = self._verified(staged(found, "windows"), repeated, share(sum(r["places"] for r in [run, *old]), self.buckets))
         return masks.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("covered"))
 
+    def _at(self, run: dict, keys: DataFrame) -> DataFrame:
+        """A run's places of these hashes; the run's rows aren't moved."""
+        wanted = keys.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
+        return self.places(run).join(wanted.hint("merge"), ["h", "s"])
+
+    def _verified(self, found: DataFrame, repeated: DataFrame, many: int) -> DataFrame:
+        """(k1, k2, first, mask) of windows in new documents whose digest occurs again, from stored (h, k1, k2, first, digests, is_new).
+
+        Anchors are brought together by hash. Those of a hash with more than `many` places are not: their windows' digests are counted
+        where they are, then by digest, and only what repeats goes back, in a join whose large partitions Spark can split.
+        """
+        hot = F.broadcast(repeated.where(F.col("n") > many).select("h"))
+        each = lambda rows: rows.select("h", "k1", "k2", "first", "is_new", F.posexplode("digests").alias("i", "d"))
+        few = each(found.join(hot, "h", "left_anti").repartition(self.buckets, "h"))
+        few = few.withColumn("n", F.count("*").over(Window.partitionBy("h", "d"))).where("n > 1 AND is_new")  # within what is there for an anchor: nothing moves
+        lots = each(found.join(hot, "h", "left_semi"))
+        again = staged(lots.groupBy("h", "d").agg(F.count("*").alias("n")).where("n > 1").select("h", "d"), "again")
+        lots = lots.where("is_new").join(again.hint("merge"), ["h", "d"])
+        mask = lambda rows, *by: rows.groupBy(*by, "k1", "k2", F.expr(f"first + i - i % {_MASK}").alias("first")).agg(F.bit_or(F.expr(f"shiftleft(1, i % {_MASK})")).alias("mask")).select("k1", "k2", "first", "mask")
+        return mask(few, "h").unionByName(mask(lots))
+
     def _windows(self, docs: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
         """(h, k1, k2, first, digests): for each candidate anchor the digests of its windows, from the documents' texts."""
         window, gram = self.window, self.gram
@@ -197,15 +273,15 @@ class WindowIndex:
         return texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "t", "places").mapInArrow(digests, "h long, k1 long, k2 long, first int, digests array<long>")
 
 
-def without_repeats(docs: DataFrame, index: WindowIndex, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 (and kept, the text, if wanted) for each row of docs.
+def without_repeats(docs: DataFrame, index: WindowIndex, *, batch: str, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+    """Adds a batch to the index; key, n_words, n_removed, kept_sha256 (and kept, the text, if wanted) for each row of docs.
 
     A word goes if a window that covers it also starts elsewhere, in its own document, in another or in the index. Null, empty and
     short texts have no window and lose nothing. Rows that repeat a key and text are documents of their own, so each repeats the
     other; null keys stay null; an empty table gives no rows; other columns are not read.
     """
     window = index.window
-    found = index.add(docs, key=key, text=text, history=history)
+    found = index.add(docs, batch=batch, key=key, text=text, history=history)
     texts = _identified(docs, key, text, index.buckets)
     rows = texts.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("k1", "t", F.col("covered.first").alias("first"), F.col("covered.mask").alias("mask"))
 
@@ -232,4 +308,4 @@ def without_repeats(docs: DataFrame, index: WindowIndex, *, key: str = "doc_id",
 def repeats_removed(docs: DataFrame, **columns) -> DataFrame:
     """`without_repeats` over all of docs with a fresh index in the shared folder."""
     spark = docs.sparkSession
-    return without_repeats(docs, WindowIndex(spark, scratch(spark, "window-index")), **columns)
+    return without_repeats(docs, WindowIndex(spark, scratch(spark, "window-index")), batch="all", **columns)

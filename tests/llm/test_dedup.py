@@ -6,6 +6,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -36,12 +37,57 @@ def test_digest_index_in_batches(spark, tmp_path):
     path = f"file://{tmp_path}/digests"
     index = exact.DigestIndex(spark, path, buckets=4)
     docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    index.add(docs([(1, "a b"), (2, "c")]), batch=0)
+    result = lambda df: {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in df.collect()}
+    first = docs([(1, "a b"), (2, "c")])
+    index.add(first, batch="0")
     spark.sql(f"DROP TABLE {index.name}")  # another session finds the files
-    index = exact.DigestIndex(spark, path, buckets=4)
-    got = {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in index.add(docs([(3, "ab"), (4, "d"), (5, "d "), (6, "c")]), batch=1).collect()}
-    assert got == {3: (1, False, 1), 4: (5, False, 2), 5: (5, True, 2), 6: (2, False, 1)}
-    assert index.table().count() == 3
+    index = exact.DigestIndex(spark, path)
+    assert index.buckets == 4 and index.batches() == ["0"]
+    second, expected = docs([(3, "ab"), (4, "d"), (5, "d "), (6, "c")]), {3: (1, False, 1), 4: (5, False, 2), 5: (5, True, 2), 6: (2, False, 1)}
+    for _ in range(2):  # the same batch again changes nothing
+        assert result(index.add(second, batch="1")) == expected
+        assert index.table().count() == 3 and index.batches() == ["0", "1"]
+    assert result(index.add(first, batch="0")) == {1: (1, True, 1), 2: (2, True, 1)}
+    assert result(index.add(first, batch="2")) == {1: (1, False, 1), 2: (2, False, 1)}
+    with pytest.raises(ValueError, match="other texts"):
+        index.add(docs([(9, "new")]), batch="1")
+    with pytest.raises(ValueError, match="buckets"):
+        exact.DigestIndex(spark, path, buckets=5)
+
+
+def test_digest_index_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    """The driver goes after the files are there and before they count; the batch is added again."""
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/digests", buckets=4)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "ab")], "doc_id long, text string")
+
+    def lost(self, state):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(common.Manifest, "write", lost)
+        with pytest.raises(KeyboardInterrupt):
+            index.add(docs, batch="x")
+    assert index.batches() == [] and index.table().count() == 2
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/digests")
+    assert {r.doc_id: (r.keep_id, r.kept) for r in index.add(docs, batch="x").collect()} == {1: (1, True), 2: (2, True), 3: (1, False)}
+    assert index.table().count() == 2
+
+
+def test_paths_that_look_alike_are_indexes_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for name in ("a/b", "a_b", "a-b"):
+        assert exact.DigestIndex(spark, f"{tmp_path}/{name}", buckets=2).add(docs, batch="0").first().kept
+        assert substring.WindowIndex(spark, f"{tmp_path}/w/{name}", buckets=2).runs() == []
+
+
+def test_manifest_is_swapped_whole(spark, tmp_path):
+    at = common.Manifest(spark, f"file://{tmp_path}/m")
+    assert at.read() == {}
+    for i in range(4):
+        at.write({"i": i, "names": ["ä", "b"]})
+        assert common.Manifest(spark, f"file://{tmp_path}/m").read() == {"i": i, "names": ["ä", "b"]}
+    (tmp_path / "m" / "_manifest" / "new-half").write_text("{")  # what a lost driver was writing
+    assert at.read()["i"] == 3
 
 
 def brute_fingerprint(t, words):
@@ -254,21 +300,61 @@ def test_anchors_are_shared_by_equal_windows():
         substring._BLOCK = block
 
 
-def test_window_index_in_batches(spark, tmp_path):
+def removed(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+
+
+@pytest.mark.parametrize("many", [1024, 1])  # with 1, all hashes that repeat are split
+def test_window_index_in_batches(spark, tmp_path, monkeypatch, many):
+    monkeypatch.setattr(substring, "share", lambda rows, parts: many)
     batches = [[(10 * b + i, f"{prose(b, 8)} {prose(50 + (b + i) % 4, 14)} {prose(70 + i, 5)}") for i in range(4)] for b in range(4)]
-    index = substring.WindowIndex(spark, f"file://{tmp_path}/windows", window=10, gram=3, buckets=4, most_runs=2)
+    opened = lambda: substring.WindowIndex(spark, f"file://{tmp_path}/windows", window=10, gram=3, buckets=4, most_runs=2)
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     before = []
-    for b in batches:
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(frame(b), index, history=frame(before) if before else None).collect()}
+    for n, b in enumerate(batches):
         expected = brute_repeats([t for _, t in b], 10, [t for _, t in before])
-        assert [got[k] for k, _ in b] == expected
+        for history in (before, before + b):  # run again, and with a corpus that the batch has landed in
+            got = removed(substring.without_repeats(frame(b), opened(), batch=str(n), history=frame(history) if history else None))
+            assert [got[k] for k, _ in b] == expected
         before += b
-        index = substring.WindowIndex(spark, f"file://{tmp_path}/windows", window=10, gram=3, buckets=4, most_runs=2)
-    assert len(index.runs()) <= 3
-    total = sum(r.count() for r in index.runs())
+    index = opened()
+    assert len(index.runs()) <= 3 and [x for r in index.runs() for x in r["batches"]] == ["0", "1", "2", "3"]
+    total = sum(index.places(r).count() for r in index.runs())
     index.compact()
-    assert len(index.runs()) == 1 and index.runs()[0].count() == total
+    (run,) = index.runs()
+    assert index.places(run).count() == run["places"] == total == index.keys(run).agg(F.sum("n")).first()[0]
+    assert index.places(run).select("h", "s").distinct().count() <= index.keys(run).agg(F.sum("salts")).first()[0] and (many > 1 or index.keys(run).agg(F.max("salts")).first()[0] > 1)
+    with pytest.raises(ValueError, match="merged"):
+        index.add(frame(batches[0]), batch="0", history=frame(before))
+    with pytest.raises(ValueError, match="windows of 10"):
+        substring.WindowIndex(spark, f"file://{tmp_path}/windows")
+
+
+@pytest.mark.parametrize("lost_at", ["add", "compact"])
+def test_window_index_after_a_lost_driver(spark, tmp_path, monkeypatch, lost_at):
+    """The driver goes when a run is written and doesn't count yet, of a batch or of a merge; then all is done again."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = [(1, prose(1, 40)), (2, prose(2, 40))], [(3, prose(3, 20) + " " + prose(1, 30)), (4, prose(4, 50))]
+    opened = lambda: substring.WindowIndex(spark, f"file://{tmp_path}/windows", window=10, gram=3, buckets=2)
+    substring.without_repeats(frame(first), opened(), batch="a").collect()
+    if lost_at == "compact":
+        substring.without_repeats(frame([(9, prose(9, 30))]), opened(), batch="b", history=frame(first)).collect()
+    index = opened()
+    runs = index.runs()
+
+    def lost(self, state):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(common.Manifest, "write", lost)
+        with pytest.raises(KeyboardInterrupt):
+            index.compact() if lost_at == "compact" else index.add(frame(second), batch="c", history=frame(first))
+    assert opened().runs() == runs
+    history = frame(first + second + [(9, prose(9, 30))])
+    got = removed(substring.without_repeats(frame(second), opened(), batch="c", history=history))
+    assert [got[k] for k, _ in second] == brute_repeats([t for _, t in second], 10, [t for _, t in first])
+    opened().compact()
+    assert len(opened().runs()) == 1 and len([n for n in common.names_in(spark, index.path) if n.startswith("run-")]) == 1
 
 
 def test_repeats_of_wide_windows(spark, tmp_path):
@@ -278,7 +364,7 @@ def test_repeats_of_wide_windows(spark, tmp_path):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for window, gram in ((50, 8), (39, 8), (120, 4)):
         index = substring.WindowIndex(spark, f"file://{tmp_path}/wide-{window}", window=window, gram=gram, buckets=4)
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(df, index).collect()}
+        got = removed(substring.without_repeats(df, index, batch="0"))
         assert [got[k] for k, _ in docs] == brute_repeats([t for _, t in docs], window)
 
 
