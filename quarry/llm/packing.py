@@ -48,17 +48,34 @@ class Packer:
         self.sequence += 1
 
     def add(self, example, out) -> None:
-        """Takes an example; what fills sequences alone goes out at once."""
-        start, end = 0, len(example[1]) // example[2]
-        capacity, _, max_loss = (int(v) for v in self.limit)
-        while end - start >= capacity or self.loss(example, start, end) > max_loss:
-            stop = self.cut(example, start, end, capacity, max_loss)
-            if stop - start < capacity:
-                break
-            self.emit([(example, start, stop)], out)
-            start = stop
-        if end > start:
-            self.open.append((example, start, end))
+        """Takes an example; what fills sequences alone goes out at once.
+
+        Where loss-bearing tokens alone can't fill a sequence, a long example's sequences take as many of them as may be and the rest
+        from its head, and what its head doesn't reach for is left open in pieces that fit.
+        """
+        n = len(example[1]) // example[2]
+        capacity, _, most = (int(v) for v in self.limit)
+        head, body = min(max(example[3], 0), n), min(max(example[3], 0), n)  # places up to which head and body are taken: the head from 0
+        if n < capacity and n - body <= most:
+            self.open.append((example, 0, n))
+            return
+        if most >= capacity:
+            for start in range(0, n - capacity + 1, capacity):
+                self.emit([(example, start, start + capacity)], out)
+            if n % capacity:
+                self.open.append((example, n - n % capacity, n))
+            return
+        done, spare = 0, capacity - most
+        while n - body >= most and head - done >= spare:
+            self.emit([(example, done, done + spare), (example, body, body + most)], out)
+            done, body = done + spare, body + most
+        while head - done >= capacity:
+            self.emit([(example, done, done + capacity)], out)
+            done += capacity
+        if body == head and n - done < capacity and n - body <= most:
+            self.open.append((example, done, n))
+            return
+        self.open += [(example, s, e) for s, e in ((done, head), *((s, min(s + most, n)) for s in range(body, n, most))) if e > s]
 
     def place(self, out, capacity: int | None = None) -> None:
         """Fills sequences while the open pieces have tokens for a whole one; with a capacity given, fills one of that size."""

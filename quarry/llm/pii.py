@@ -2,14 +2,19 @@
 
 Generators propose overlapping candidates with high recall: cards inside longer runs of digits, phone numbers in national or
 unmarked form, addresses with blanks around the dots, e-mail addresses that are spelled out. Gradient-boosted trees score each
-candidate by its format and what stands around it; a threshold for each kind, calibrated for precision on examples that the trees
-did not see, selects those that are added. The trees are fitted on a fixed number of generated examples (EXAMPLES).
+candidate by its format and what stands around it; a threshold for each kind, calibrated for precision on cases of other making,
+selects those that are added. The trees are fitted on a fixed number of generated examples (EXAMPLES) and on filled-in sentences of
+office prose, whose negatives are what candidates in such text mostly are: section, book and part numbers, totals, scores. Sentences
+of other forms give the thresholds.
+
+Patterns take time in proportion to a text's length, whatever is in it: they start at separators or at the first digit of a run.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Generated examples of each kind and side that the trees see; half as many again calibrate the thresholds.
-EXAMPLES = 400
-#: Share of added spans that must be right on the calibration examples.
+#: Generated examples of each kind and side that the trees see, and sentences of each form that calibrate the thresholds.
+EXAMPLES, CASES = 400, 40
+#: Share of added spans that must be right on the calibration sentences.
 PRECISION = 0.995
+#: Candidates that are scored at a time.
+BLOCK = 4096
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # from a run's first digit: what fails there fails at its others
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -85,9 +92,10 @@ def _addresses(text: str):
 
 _SEPARATED = re.compile(r"[+(]?[0-9](?:[\x20().\-/_ ]{0,3}[0-9])+")
 _GROUP = re.compile(r"[0-9]+")
-_NATIONAL = re.compile(r"(?:\+[0-9]{1,3}|00[0-9]{1,3})?[\x20.\-/]{0,2}\(?[0-9]{3}\)?[\x20.\-/]{1,2}[0-9]{3}[\x20.\-/]{1,2}[0-9]{4}(?![0-9])")
+_NATIONAL = re.compile(r"(?:(?:\+[0-9]{1,3}|00[0-9]{1,3})[\x20.\-/]{0,2})?\(?[0-9]{3}\)?[\x20.\-/]{1,2}[0-9]{3}[\x20.\-/]{1,2}[0-9]{4}(?![0-9])")
 _SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?[.]\x20?|\x20?\[\.\]\x20?|\(\.\))[0-9]{1,3}){3}(?![0-9.])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:\(at\)|\[at\]|\{at\}|\sat\s|\(@\)|\[@\])\s?[A-Za-z0-9-]+(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]+)+", re.I)
+_AT = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s)|\(@\)|\[@\])\s?", re.I)
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]++)+", re.I)
 _SPELLED_HINT = re.compile(r"[(\[{](?:at|@|dot)[)\]}]|\sdot\s", re.I)
 _HINTS = {
     0: re.compile(r"mail|contact|write|@", re.I),
@@ -98,24 +106,31 @@ _HINTS = {
 _AGAINST = re.compile(r"order|invoice|version|ver\b|v\.|ref|id\b|isbn|serial|token|hash|sku|total|no\.|build|tracking", re.I)
 
 
+def _spelled(text: str):
+    """Addresses that are spelled out, from each `at`: the word before it, and the domain after it."""
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start and _RUN_BEFORE.match(text[start - 1]):
+            start -= 1
+        if start < m.start() and (end := _DOMAIN.match(text, m.end())):
+            yield 0, start, end.end()
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    found = set()
-    if _SPELLED_HINT.search(text):
-        found |= {(0, *m.span()) for m in _SPELLED.finditer(text)}
+    found = set(_spelled(text)) if _SPELLED_HINT.search(text) else set()
     if _DIGIT.search(text) is None:
         return sorted(found)
     found |= {(1, *m.span()) for m in _SPACED_IP.finditer(text)}
     found |= {(3, *m.span()) for m in _NATIONAL.finditer(text) if 9 <= len(digits_of(m[0])) <= 15}
     for m in _SEPARATED.finditer(text):
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
-        for i, (s, _) in enumerate(groups):  # runs of groups that have a card's number of digits; the sum of digits bounds them
-            n = 0
-            for a, b in groups[i:]:
-                n += b - a
-                if n > 19:
-                    break
-                if n >= 13:
-                    found.add((2, s, b))
+        for i, (s, _) in enumerate(groups):  # runs of groups that have a card's number of digits and its check digit; the sum of digits bounds them
+            digits, j = "", i
+            while j < len(groups) and len(digits) + groups[j][1] - groups[j][0] <= 19:
+                digits += text[slice(*groups[j])]
+                if len(digits) >= 13 and luhn(digits):
+                    found.add((2, s, groups[j][1]))
+                j += 1
     return sorted(found)
 
 
@@ -193,10 +208,9 @@ def examples(rng: np.random.Generator, n: int):
     num = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
 
-    def card(valid):
-        d = pick("4", "5", "37", "6") + num(int(pick(13, 14, 14)))
-        last = next(c for c in "0123456789" if luhn(d + c))
-        d += last if valid else str((int(last) + int(rng.integers(1, 10))) % 10)
+    def card(good):  # one that isn't has a check digit too, by chance or as book, device and tracking numbers do
+        d = (pick("4", "5", "37", "6") if good else pick("0", "1", "2", "7", "8", "9", "4")) + num(int(pick(13, 14, 14)))
+        d += next(c for c in "0123456789" if luhn(d + c))
         return d if rng.random() < 0.6 else pick(" ", "-", ".").join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def make(kind, good):
@@ -231,36 +245,96 @@ def examples(rng: np.random.Generator, n: int):
     return [make(k, bool(g)) for k in range(4) for g in (0, 1) for _ in range(n)]
 
 
+#: Sentences with a candidate in <>, by kind: those in which it is personal data, then the others. w is a word, W a capitalised one, d a
+#: digit, t an end of a domain, p a number up to 255, C a card number, # a check digit. The trees see the first, third ... of each list,
+#: the thresholds come from the second, fourth ...
+FORMS = {
+    0: (
+        ["Please send the minutes to <w.w (at) w (dot) t> by Friday.", "For questions: <w [at] w.t>", "Mail <w_dd at w dot t> when the parcel is there.", "<w-w(at)w-w.t> answers within a day.", "Our desk <w {at} w {dot} t> is closed.", "Write to <w.w at w dot w dot t>, not to me (dot)."],
+        ["We met <w at w dot> w and left. (dot)", "The train was <late at w. W> said so, dot by dot (at) last.", "The mark <w at w. W> was a [dot].", "She looked <up at w dot w> on the map.", "The value <f(at)w.w> is printed; see [dot].", "They arrived <early at w. There> was a dot on the wall. Mark (dot)."],
+    ),
+    1: (
+        ["The host at <p . p . p . p> does not answer.", "Blocked: <p[.]p[.]p[.]p>, reported twice.", "Gateway <p. p. p. p> was moved to the new rack.", "log from <p(.)p(.)p(.)p> follows", "ssh to <p .p .p .p> fails", "The address <p. p. p. p> is taken."],
+        ["See sections <d. d. d. d> of the manual.", "Order of the day <dd. dd. ddd. ddd> as printed.", "Version <d. d. d. dd> is out.", "Sections <d. d. dd. d> were cut.", "Scores were <ddd. ddd. ddd. 9dd> in the end.", "Points <d . d . d . dd> were agreed."],
+    ),
+    2: (
+        ["Charge it to <C>.C and send a receipt.", "card no. <4ddd.dddd.dddd.ddd#> exp 12/29", "Paid with visa <C> C today.", "Number on the card: <5ddd_dddd_dddd_ddd#>", "Pay by <4ddd/dddd/dddd/ddd#> now", "Credit <C> C was refused."],
+        ["ISBN <978-d-dddd-dddd-#> is out of print.", "Tracking <9dddddddddddddddd#> left the depot.", "Totals <dd ddd ddd ddd dd#> as of June.", "Started <2024ddddddddd#>dd, ended later.", "Account <ddddddddddddddd#>dddd was opened in 1998.", "Serial <8ddddddddddddd#>-dd-dd on the lid", "Rows: <dd dd dd dd dd dd d#> dd dd dd", "Sizes <d dd d dd ddd d dd d#> in all"],
+    ),
+    3: (
+        ["Phone <(2dd) 555-dddd> after six.", "Call <4dd-5dd-dddd> for a table.", "Tel. <001 3dd 5dd dddd> (office)", "Reach the shop at <6dd.5dd.dddd>, or write.", "My mobile is <7dd 5dd dddd>.", "Fax: <(8dd) 4dd-dddd>"],
+        ["Order ref dddd-<ddd-ddd-dddd>-dd is late.", "Part no. <ddd-ddd-dddd>-ddd fits both.", "Totals <ddd ddd dddd>.dd were booked.", "Invoice <ddd.ddd.dddd> was paid.", "Serial <ddd-ddd-dddd> is on the lid.", "Build <ddd.ddd.dddd>.d came out."],
+    ),
+}
+
+
+def cases(rng: np.random.Generator, n: int, first: int) -> list[tuple]:
+    """Every second of FORMS filled in n times: (text, kind, start, end, is personal)."""
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
+    made = {"w": word, "W": lambda: word().capitalize(), "t": lambda: TAILS[int(rng.integers(len(TAILS)))], "p": lambda: str(rng.integers(0, 256)), "C": lambda: "4ddddddddddddddd"[:-1] + "#"}
+    check = lambda m: m[0][:-1] + next(c for c in "0123456789" if luhn(digits_of(m[0]) + c))
+
+    def part(p: str) -> str:
+        p = re.sub(r"(?<![A-Za-z])[wWtpC](?![A-Za-z])", lambda m: made[m[0]](), p)
+        p = re.sub(r"(?<![a-ce-z])d+(?![a-ce-z])", lambda m: "".join(str(c) for c in rng.integers(0, 10, len(m[0]))), p)
+        return re.sub(r"[0-9][0-9 ._/-]*#", check, p)
+
+    out = []
+    for kind, sides in FORMS.items():
+        for good, forms in zip((True, False), sides, strict=True):
+            for form in forms[first::2]:
+                cut = re.split("[<>]", form)
+                for _ in range(n):
+                    before, inside, after = map(part, cut)
+                    out.append((before + inside + after, kind, len(before), len(before + inside), good))
+    return out
+
+
+def threshold(p: np.ndarray, right: np.ndarray) -> float:
+    """The least score from which on at least PRECISION of the cases are right, half-way to the next one below; 2 if there is none."""
+    order = np.argsort(-p, kind="stable")
+    p, right = p[order], right[order]
+    last = np.append(p[1:] < p[:-1], True)  # of equal scores all are taken, or none
+    ok = np.flatnonzero(last & (np.cumsum(right) >= PRECISION * np.arange(1, len(p) + 1)))
+    if not len(ok):
+        return 2.0
+    k = ok[-1]
+    return float((p[k] + p[k + 1]) / 2) if k + 1 < len(p) else float(p[k])
+
+
 class Chooser:
     """The fitted trees and each kind's threshold."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        seen, other = examples(rng, EXAMPLES), examples(rng, EXAMPLES // 2)
         xy = lambda v: (np.array([features(*e[:4]) for e in v], float), np.array([e[4] for e in v], float))
-        self.trees = Boosted(*xy(seen))
-        x, y = xy(other)
+        self.trees = Boosted(*xy(examples(rng, EXAMPLES) + cases(rng, CASES, 0)))
+        x, y = xy(cases(rng, CASES, 1))
         p = self.trees.predict(x)
-        self.threshold = []
-        for k in range(4):
-            of = x[:, k] == 1
-            order = np.argsort(-p[of], kind="stable")
-            right = np.cumsum(y[of][order]) / np.arange(1, of.sum() + 1)
-            ok = np.flatnonzero(right >= PRECISION)
-            self.threshold.append(max(0.5, float(p[of][order][ok[-1]])) if len(ok) else 2.0)
+        self.threshold = [threshold(p[x[:, k] == 1], y[x[:, k] == 1]) for k in range(4)]
 
     def spans(self, text: str) -> tuple[list, list]:
         """Base spans, and all spans: the base ones and the selected candidates that overlap none of their kind, best first."""
         base = base_spans(text)
-        out = list(base)
-        proposed = [c for c in candidates(text) if not any(k == c[0] and s < c[2] and c[1] < e for k, s, e in base)]
-        if proposed:
-            p = self.trees.predict(np.array([features(text, *c) for c in proposed], float))
-            for i in np.lexsort(([c[1] for c in proposed], -p)):
-                k, s, e = proposed[i]
-                if p[i] >= self.threshold[k] and not any(q == k and a < e and s < b for q, a, b in out):
-                    out.append(proposed[i])
-        return base, sorted(out)
+        taken: list[list] = [[] for _ in KINDS]  # by kind in order, none overlapping another
+        for k, s, e in base:
+            taken[k].append((s, e))
+        good = []
+        proposed = [c for c in candidates(text) if free(taken[c[0]], c[1], c[2])]
+        for at in range(0, len(proposed), BLOCK):
+            part = proposed[at : at + BLOCK]
+            p = self.trees.predict(np.array([features(text, *c) for c in part], float))
+            good += [(-q, s, k, e) for q, (k, s, e) in zip(p.tolist(), part, strict=True) if q >= self.threshold[k]]
+        for _, s, k, e in sorted(good):
+            if free(taken[k], s, e):
+                insort(taken[k], (s, e))
+        return base, [(k, s, e) for k, spans in enumerate(taken) for s, e in spans]
+
+
+def free(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether none of the spans, which are in order and don't overlap, overlaps this one."""
+    at = bisect_left(spans, (start, end))
+    return (at == len(spans) or spans[at][0] >= end) and (at == 0 or spans[at - 1][1] <= start)
 
 
 def joined(spans: list) -> str:

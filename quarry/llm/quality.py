@@ -81,10 +81,10 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED) -> Voter:
-    """Learns from at most `most` labelled rows that aren't held out, the first by a hash of the key.
+    """Learns from at most `most` labelled documents that aren't held out, the first by a hash of the key.
 
-    Only their hashed counts come to the driver (8 KB a row). Null labels and keys are skipped; contradicting labels of a key count
-    by their mean. Without labels every text scores 0.5.
+    Only their hashed counts come to the driver (8 KB each). Null labels and keys are skipped; contradicting labels of a key count
+    by their mean, and of texts that share a key the least counts. Without labels every text scores 0.5.
     """
     ship(docs.sparkSession)
     chosen = (
@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         .groupBy(F.col(key).cast("long").alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
         .orderBy(F.xxhash64("_key"), "_key").limit(most)
     )
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_key")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_key")
+    rows = rows.groupBy("_key", "_y").agg(F.min("_t").alias("_t")).select("_key", "_t", "_y")  # at most `most`, however often a key is there
 
     def count(batches):
         for b in slices(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from . import chat, orderminhash, pii, quality
 from .exact import exact_groups
-from .mixing import clean_share, mix_report
+from .mixing import mix_report, substance
 from .packing import pack
 from .records import token_records
 from .simhash import near_groups
@@ -27,7 +27,7 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix_report(docs, weight=clean_share(F.col("text")))
+    return mix_report(docs, weight=substance(F.col("text")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,13 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
 
 
+#: What a rejected conversation says that has no earlier answer to repeat.
+DECLINED = "I would rather not say."
+
+
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
-    conv = F.col("conv_id").cast("long")
-    return chat.preferences(table(spark, sf_dir, "conversations"), pair=F.floor(conv / 2), side=F.pmod(conv, F.lit(2)))
+    """Each conversation against the same one whose last answer repeats its first, or declines where it has one only."""
+    return chat.against_earlier_answers(table(spark, sf_dir, "conversations"), conversation=F.col("conv_id"), declined=DECLINED)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +65,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), voter).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: A sequence's limits: tokens, segments and loss-bearing tokens. The head of a document, a sixteenth of its characters as a number of
+#: tokens and so about a fifth of them, stands for a prompt that bears no loss.
+CAPACITY, SEGMENTS, LOSS, HEAD = 2048, 12, 1920, 16
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), bpe_50k())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.char_length("text") / HEAD).alias("head"))
+    return pack(docs, bpe_50k(), loss_from="head", capacity=CAPACITY, max_segments=SEGMENTS, max_loss=LOSS)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash, op4_fingerprints, op5_exact_dedup, op6_personal_data, op7_repeats, op8_preferences, op9_quality, op10_packing)}
@@ -72,7 +81,9 @@ SQL = {
     "op2_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, 1.0::DOUBLE - (length(text) - length(translate(text, '!|*$', '')))::DOUBLE / length(text)::DOUBLE) ELSE 1.0::DOUBLE END AS weight
+    CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) > 0 THEN greatest(0.05::DOUBLE,
+      len(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::DOUBLE / len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::DOUBLE
+      * (1.0::DOUBLE - (length(text) - length(translate(text, '!|*$', '')))::DOUBLE / length(text)::DOUBLE)) ELSE 0.05::DOUBLE END AS weight
   FROM documents),
 rows AS (
   SELECT d.*, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight AS es
@@ -96,23 +107,22 @@ FROM runs
 """,
     "op8_preferences": r"""
 WITH t AS (
-  SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side,
-    list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  SELECT conv_id AS pair_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS c
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+a AS (SELECT *, [i FOR i IN range(1, len(c) + 1) IF c[i].role = 'assistant'] AS answers FROM t),
 p AS (
-  SELECT pair_id, coalesce(c.turns, []) AS c, coalesce(r.turns, []) AS r
-  FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r USING (pair_id)),
-n AS (
-  SELECT *, coalesce(list_position([c[i] = r[i] FOR i IN range(1, least(len(c), len(r)) + 1)], false) - 1, least(len(c), len(r)))::BIGINT AS n FROM p),
-cut AS (SELECT pair_id, n, c[:n] AS shared, c[n + 1:] AS cs, r[n + 1:] AS rs, len(c) > 0 AS has_c, len(r) > 0 AS has_r FROM n),
+  SELECT pair_id, c, [{'role': c[i].role, 'text': CASE WHEN i = answers[-1] THEN CASE WHEN len(answers) > 1 THEN c[answers[1]].text ELSE 'I would rather not say.' END ELSE c[i].text END} FOR i IN range(1, len(c) + 1)] AS r
+  FROM a),
+n AS (SELECT *, coalesce(nullif(list_position([c[i] = r[i] FOR i IN range(1, len(c) + 1)], false), 0) - 1, len(c))::BIGINT AS n FROM p),
+cut AS (SELECT pair_id, n, c[:n] AS shared, c[n + 1:] AS cs, r[n + 1:] AS rs FROM n),
 sized AS (
   SELECT *, [13 + length(x.role) + length(x.text) FOR x IN cs] AS cl, [13 + length(x.role) + length(x.text) FOR x IN rs] AS rl FROM cut)
-SELECT pair_id, CASE WHEN has_c AND has_r THEN n ELSE 0 END AS prompt_turns,
+SELECT pair_id, n AS prompt_turns,
   coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN shared], ''), '') AS prompt,
-  CASE WHEN has_c THEN coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN cs], ''), '') END AS chosen,
-  CASE WHEN has_r THEN coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN rs], ''), '') END AS rejected,
-  CASE WHEN has_c THEN coalesce(array_to_string([(list_sum(cl[:i]) - length(cs[i].text) - 8)::BIGINT || ':' || list_sum(cl[:i])::BIGINT FOR i IN range(1, len(cs) + 1) IF cs[i].role = 'assistant'], ','), '') END AS chosen_loss,
-  CASE WHEN has_r THEN coalesce(array_to_string([(list_sum(rl[:i]) - length(rs[i].text) - 8)::BIGINT || ':' || list_sum(rl[:i])::BIGINT FOR i IN range(1, len(rs) + 1) IF rs[i].role = 'assistant'], ','), '') END AS rejected_loss
+  coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN cs], ''), '') AS chosen,
+  coalesce(array_to_string(['<|' || x.role || E'|>\n' || x.text || '<|end|>' || E'\n' FOR x IN rs], ''), '') AS rejected,
+  coalesce(array_to_string([(list_sum(cl[:i]) - length(cs[i].text) - 8)::BIGINT || ':' || list_sum(cl[:i])::BIGINT FOR i IN range(1, len(cs) + 1) IF cs[i].role = 'assistant'], ','), '') AS chosen_loss,
+  coalesce(array_to_string([(list_sum(rl[:i]) - length(rs[i].text) - 8)::BIGINT || ':' || list_sum(rl[:i])::BIGINT FOR i IN range(1, len(rs) + 1) IF rs[i].role = 'assistant'], ','), '') AS rejected_loss
 FROM sized
 """,
     "op5_exact_dedup": r"""

@@ -5,12 +5,15 @@ compared in full, with exclusive-or and bit counts; other tile pairs can't hold
 spanning forest of its links, at most one for each fingerprint, never all pairs. The work grows with the square of the number of
 distinct fingerprints over the number of classes of population count; memory does not grow, as a task holds two tiles.
 
-`near_groups` links what the fingerprints link. `near_deduplicated` takes them as a search for candidates only: what they connect in
-a tile pair goes on as pieces of bounded size, where the sets of shingles of every two candidates are compared exactly.
+`near_groups` links what the fingerprints link. `near_deduplicated` takes them as a search for candidates only, among texts whose sets
+of shingles are of like sizes: what they connect in a tile pair goes on as pieces of bounded size, where the sets of every two
+candidates are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -135,22 +138,27 @@ def first_of(node: Column) -> Column:
     return F.nullif(key, F.lit(_NO_FIRST))
 
 
-def _tile_pairs(prints: DataFrame, radius: int, tile: int) -> DataFrame:
-    """prints: distinct node with ones. Returns (ac, ak, c, k, a, b, same): every two tiles that may hold a link, and their places."""
-    n, width = partitions(prints.sparkSession), max(1, radius // 8)
+def _tile_pairs(prints: DataFrame, radius: int, tile: int, width: int | None = None) -> DataFrame:
+    """prints: distinct node with ones, and maybe g. Returns (place, a, b, same): every two tiles that may hold a link.
+
+    Tiles are of classes of population count, `width` wide. With g, which differs by 1 at most where nodes may be linked, classes are
+    of both.
+    """
+    n, width = partitions(prints.sparkSession), width or max(1, radius // 8)
     reach = (radius + width - 1) // width  # classes further apart differ by more than the radius
-    rows = prints.select("node", F.floor(F.col("ones") / width).cast("int").alias("c"))
-    classes = rows.groupBy("c").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # at most bits + 1 rows
-    tiles = rows.join(F.broadcast(classes), "c").groupBy("c", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("k")).agg(F.listagg("node").alias("blob"))
+    rows = prints.select("node", *([F.col("g").cast("int").alias("g")] if "g" in prints.columns else [F.lit(0).alias("g")]), F.floor(F.col("ones") / width).cast("int").alias("c"))
+    classes = rows.groupBy("g", "c").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # at most bits + 1 rows for each g, of which there are 200 for sets up to 2 ** 64
+    tiles = rows.join(F.broadcast(classes), ["g", "c"]).groupBy("g", "c", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("k")).agg(F.listagg("node").alias("blob"))
     tiles = staged(tiles, "tiles")
+    beside = F.sequence("ag", F.col("ag") + (1 if "g" in prints.columns else 0))
     left = (
-        tiles.select(F.col("c").alias("ac"), F.col("k").alias("ak"), F.col("blob").alias("a"))
-        .withColumn("c", F.explode(F.sequence("ac", F.col("ac") + reach)))
-        .join(F.broadcast(classes), "c").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .where("c > ac OR k >= ak").drop("tiles").repartition(n, "c", "k")
+        tiles.select(F.col("g").alias("ag"), F.col("c").alias("ac"), F.col("k").alias("ak"), F.col("blob").alias("a"))
+        .withColumn("g", F.explode(beside)).withColumn("c", F.explode(F.sequence(F.when(F.col("g") == F.col("ag"), F.col("ac")).otherwise(F.col("ac") - reach), F.col("ac") + reach)))
+        .join(F.broadcast(classes), ["g", "c"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .where("g > ag OR c > ac OR k >= ak").drop("tiles").repartition(n, "g", "c", "k")
     )
-    pairs = left.join(tiles.withColumnRenamed("blob", "b").repartition(n, "c", "k").hint("shuffle_hash"), ["c", "k"])
-    return pairs.select("ac", "ak", F.col("c").cast("int").alias("c"), F.col("k").cast("int").alias("k"), "a", "b", ((F.col("c") == F.col("ac")) & (F.col("k") == F.col("ak"))).alias("same"))
+    pairs = left.join(tiles.withColumnRenamed("blob", "b").repartition(n, "g", "c", "k").hint("shuffle_hash"), ["g", "c", "k"])
+    return pairs.select(F.array("ag", "ac", "ak", "g", "c", "k").alias("place"), "a", "b", F.expr("g = ag AND c = ac AND k = ak").alias("same"))
 
 
 def _both_tiles(batches, width: int):
@@ -158,7 +166,7 @@ def _both_tiles(batches, width: int):
     for batch in batches:
         for i in range(batch.num_rows):
             a, b = (np.frombuffer(batch.column(c)[i].as_py(), ">u8").astype(np.uint64).reshape(-1, width) for c in ("a", "b"))
-            yield tuple(batch.column(c)[i].as_py() for c in ("ac", "ak", "c", "k")), a, b, batch.column("same")[i].as_py()
+            yield batch.column("place")[i].as_py(), a, b, batch.column("same")[i].as_py()
 
 
 def links(prints: DataFrame, radius: int, bits: int, tile: int = TILE) -> DataFrame:
@@ -223,8 +231,8 @@ def pieces(u: np.ndarray, v: np.ndarray, size: np.ndarray, n: int, same: bool, m
 
 
 def candidates(prints: DataFrame, radius: int, bits: int, tile: int = TILE, piece: int = PIECE) -> DataFrame:
-    """prints: distinct node (with 8 more bytes after the fingerprint), ones and size. Returns (piece, side, node): every two nodes within
-    the radius meet in one piece of at most so many bytes, or of two nodes."""
+    """prints: distinct node (with 8 more bytes after the fingerprint), ones, size and g. Returns (piece, side, node): every two nodes
+    within the radius whose g differ by 1 at most meet in one piece of at most so many bytes, or of two nodes."""
     words = bits // 64
 
     def run(batches):
@@ -238,8 +246,8 @@ def candidates(prints: DataFrame, radius: int, bits: int, tile: int = TILE, piec
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([name] * len(at), pa.binary()), "side": pa.array(side, pa.int32()), "node": pa.array([r.tobytes() for r in both[at, :-1].astype(">u8")], pa.binary())})
 
     ship(prints.sparkSession)
-    sized = prints.select(F.concat("node", F.unhex(F.lpad(F.hex(F.col("size").cast("long")), 16, "0"))).alias("node"), "ones")
-    return _tile_pairs(sized, radius, tile).mapInArrow(run, "piece binary, side int, node binary")
+    sized = prints.select(F.concat("node", F.unhex(F.lpad(F.hex(F.col("size").cast("long")), 16, "0"))).alias("node"), "ones", "g")
+    return _tile_pairs(sized, radius, tile, radius).mapInArrow(run, "piece binary, side int, node binary")
 
 
 def alike(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,30 +327,37 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, bits: int, radius
     return rows.join(of, "fp")
 
 
+def size_class(n: int) -> int:
+    """Sets whose sizes are 4 to 5 at most are in one class or in neighbours; -1 for empty ones."""
+    return math.floor(math.log(n) / math.log(OF / SHARED)) if n else -1
+
+
 def near_deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 256, radius: int = 72, tile: int = TILE, piece: int = PIECE) -> DataFrame:
     """docs' own columns, one row of each group of near copies: the one with the least key.
 
     Near copies are texts whose sets of five-word shingles (as 64-bit hashes) have a similarity J of 0.8 or more; links are closed
     transitively, so a row that goes has a near copy, which may be another one than the row that stays. Fingerprints of 256 bits, of
     each shingle once, only tell which pairs to compare exactly: they differ in 256 acos(2J / (1 + J)) / pi bits, give or take 6, which is 39 at J = 0.8, and
-    48 for texts of 4 and 5 shingles. Radius 72 lets a pair from 0.8 on pass by four deviations; unlike texts differ in 128.
+    48 for texts of 4 and 5 shingles. Radius 72 lets a pair from 0.8 on pass by four deviations; unlike texts differ in 128. Only texts
+    whose sets are of like sizes are compared: near copies' sizes are 4 to 5 at most, so classes by their logarithm to base 5/4 are
+    the same or next to each other.
     """
     ship(docs.sparkSession)
     texts = docs.select(*row_id(key, text), text_or_empty(text).cast("string").alias("t"), F.col(key).cast("long").alias("key"))
 
     def run(batches):
         for b in slices(batches):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for t in b.column("t").to_pylist():
                 h = np.unique(shingle_hashes(t, words))  # a set, as similarity is that of sets
                 p = majorities(h, bits)
-                for c, v in zip(out, (p, xxhash.xxh3_64_digest(h.tobytes()), int.from_bytes(p, "big").bit_count(), len(t)), strict=True):
+                for c, v in zip(out, (p, xxhash.xxh3_64_digest(h.tobytes()), int.from_bytes(p, "big").bit_count(), len(t), size_class(len(h))), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("_k"), b.column("_h"), *(pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True))], names=["key", "_k", "_h", "fp", "of", "ones", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("_k"), b.column("_h"), *(pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True))], names=["key", "_k", "_h", "fp", "of", "ones", "size", "g"])
 
-    rows = staged(texts.mapInArrow(run, "key long, _k long, _h long, fp binary, of binary, ones int, size long"), "fingerprints")
-    prints = rows.groupBy("fp", "of").agg(F.min("key").alias("first"), F.first("ones").alias("ones"), F.min(F.struct("_k", "_h", "size")).alias("s"))
-    prints = staged(prints.select("fp", "of", node(F.col("first"), F.concat("fp", "of")).alias("node"), "ones", "s._k", "s._h", "s.size"), "distinct")
+    rows = staged(texts.mapInArrow(run, "key long, _k long, _h long, fp binary, of binary, ones int, size long, g int"), "fingerprints")
+    prints = rows.groupBy("fp", "of").agg(F.min("key").alias("first"), F.first("ones").alias("ones"), F.first("g").alias("g"), F.min(F.struct("_k", "_h", "size")).alias("s"))
+    prints = staged(prints.select("fp", "of", node(F.col("first"), F.concat("fp", "of")).alias("node"), "ones", "g", "s._k", "s._h", "s.size"), "distinct")
     near = staged(candidates(prints, radius, bits, tile, piece), "candidates")
     members = near.join(prints.select("node", "_k", "_h").hint("merge"), "node")
     roots = components(staged(alike_links(texts.drop("key"), members, radius, bits, words), "links"))

@@ -27,7 +27,7 @@ def test_exact_groups(odd, none):
     for r in got:
         of = next(v for n, v in groups.items() if hashlib.sha256(n.encode()).hexdigest() == r.text_sha256)
         assert (r.keep_id, r.group_size) == (min(of)[3], len(of))
-    assert sum(r.kept for r in got) == len(groups) + 1  # one row that stays is there twice
+    assert sum(r.kept for r in got) == len(groups) + 1  # one row that stays is there twice, and is one of the groups
     assert exact.exact_groups(none).count() == 0
     left = exact.exact_deduplicated(odd)
     assert left.columns == odd.columns and left.count() == len(groups)
@@ -97,6 +97,10 @@ def brute_fingerprint(t, words):
 
 
 def closed(n, close):
+    return closed_by(n, [(i, j) for i, j in itertools.combinations(range(n), 2) if close(i, j)])
+
+
+def closed_by(n, links):
     up = list(range(n))
 
     def root(i):
@@ -104,10 +108,9 @@ def closed(n, close):
             i = up[i]
         return i
 
-    for i, j in itertools.combinations(range(n), 2):
-        if close(i, j):
-            a, b = root(i), root(j)
-            up[max(a, b)] = min(a, b)
+    for i, j in links:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
     return [root(i) for i in range(n)]
 
 
@@ -188,6 +191,34 @@ def test_near_copies_are_those_of_brute_force(spark, odd, none):
     assert left.count() == len(set(closed(len(kinds), lambda i, j: (a := shingle_set(kinds[i][1])) == (b := shingle_set(kinds[j][1])) or len(a & b) >= 0.8 * len(a | b))))
 
 
+def test_size_classes_of_near_copies():
+    for n in [*range(1, 3000), 10**6, 10**9]:
+        most = n * 5 // 4  # the largest set that may be a near copy
+        assert simhash.size_class(most) - simhash.size_class(n) <= 1
+    assert simhash.size_class(0) == -1
+
+
+def test_all_near_copies_of_a_table_are_found(spark):
+    """Recall of the candidate search against brute force over all documents of sf0.01, by an inverted index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {k: frozenset(shingle_set(t)) for k, t in texts(docs)}
+    first: dict = {}
+    for k, v in sorted(sets.items()):
+        first.setdefault(v, k)  # equal sets are one
+    keys = sorted(first.values())
+    where = collections.defaultdict(list)
+    for k in keys:
+        for x in sets[k]:
+            where[x].append(k)
+    shared = collections.Counter((a, b) for v in where.values() for a, b in itertools.combinations(v, 2))
+    pairs = {p for p, n in shared.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    assert len(pairs) >= 5
+    at = {k: i for i, k in enumerate(keys)}
+    roots = closed_by(len(keys), [(at[a], at[b]) for a, b in pairs])
+    stay = sorted(keys[i] for i, r in enumerate(roots) if i == r)
+    assert sorted(r.doc_id for r in simhash.near_deduplicated(docs).collect()) == stay
+
+
 def test_repeated_lines_count_once(spark):
     """A line that is repeated neither hides a near copy nor makes one."""
     docs = []
@@ -254,7 +285,23 @@ def test_order_minhash():
 
 def test_edits(odd, none):
     docs = sorted(texts(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    expected = [orderminhash._compared(k, t, n, orderminhash.fingerprint(t), orderminhash.fingerprint(n)) for (k, t), (_, n) in zip(docs, docs[1:] + docs[:1], strict=True)]
+    prints: dict[str, str] = {}
+
+    def fingerprint(t):
+        if t not in prints:
+            prints[t] = ("----" * 64 if not t else brute_order_minhash(t)) if len(t) < 5000 else orderminhash.fingerprint(t)
+        return prints[t]
+
+    def likeness(a, b):
+        x, y = ([p[i : i + 4] for i in range(0, 256, 4)] for p in map(fingerprint, (a, b)))
+        there = [(u, v) for u, v in zip(x, y, strict=True) if (u, v) != ("----", "----")]
+        return sum(u == v for u, v in there) / len(there) if there else 1.0
+
+    expected = []
+    for (k, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        expected.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(t), fingerprint(edited), likeness(t, edited), likeness(t, after)))
     got = [tuple(r) for r in orderminhash.edits(odd).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert orderminhash.edits(none).count() == 0

@@ -5,17 +5,23 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quarry.llm import packing, records
-from quarry.llm.tokens import TextEncoder, encoder
+from quarry.llm import packing, queries, records
+from quarry.llm.tokens import TextEncoder
 
 from .conftest import prose, texts
 
+PLAIN: dict = {}
 ODD = ["", "\n", " ", "  a", "a ", "\na", "a\n\nb", "a  b", "a\tb c", "<|endoftext|> x", "don't 12 3. we's", "é à\x1cb", "a \n b", "日本 語 x1", "a\r\nb", "x, y!! z*** É, é! é́ a", "a_b c-d", " a b", "a​b c", "'s 's", "Ωx, ß."]
 
 
 def ids(tokenizer, text, end):
-    return encoder(tokenizer).tokenizer.encode(text, add_special_tokens=False).ids + [end]
+    """What the library itself gives, with nothing set."""
+    if tokenizer not in PLAIN:
+        PLAIN[tokenizer] = Tokenizer.from_file(tokenizer)
+    return PLAIN[tokenizer].encode(text, add_special_tokens=False).ids + [end]
 
 
 def crc(values):
@@ -30,8 +36,6 @@ def test_words_give_the_same_ids_as_whole_texts(tokenizer):
 
 
 def test_added_tokens_are_encoded_as_the_library_does(tokenizer):
-    from tokenizers import Tokenizer
-
     e, plain = TextEncoder(tokenizer), Tokenizer.from_file(tokenizer)
     for t in [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>y", "a <|endoftext| > b"]:
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
@@ -107,14 +111,31 @@ def check_pieces(rows, docs, tokenizer, capacity):
     return by_seq
 
 
-def test_packing(odd, none, tokenizer):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_packing(odd, none, tokenizer, parts):
     docs = texts(odd)
-    by_seq = check_pieces(packing.pack(odd.coalesce(1), tokenizer).collect(), docs, tokenizer, 2048)
+    rows = odd.coalesce(1) if parts == 1 else odd.orderBy(F.desc("n_chars"), F.rand(3)).repartition(parts)  # another order of rows, other partitions
+    by_seq = check_pieces(packing.pack(rows, tokenizer).collect(), docs, tokenizer, 2048)
     sizes = [sum(r.length for r in p) for p in by_seq.values()]
     assert all(s == 2048 or s & (s - 1) == 0 for s in sizes)
     assert packing.pack(none, tokenizer).count() == 0
 
 
+def test_each_limit_stops_sequences(spark, tokenizer):
+    """The query's own limits on a real table, in several partitions: all three bind, and next to nothing is padded."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3).withColumn("head", F.floor(F.char_length("text") / queries.HEAD))
+    rows = packing.pack(docs, tokenizer, loss_from="head", capacity=queries.CAPACITY, max_segments=queries.SEGMENTS, max_loss=queries.LOSS).collect()
+    by_seq = check_pieces(rows, texts(docs), tokenizer, 2048)
+    size = {s: sum(r.length for r in p) for s, p in by_seq.items()}
+    loss = {s: sum(r.loss_tokens for r in p) for s, p in by_seq.items()}
+    assert all(len(p) <= queries.SEGMENTS and loss[s] <= queries.LOSS for s, p in by_seq.items())
+    share = lambda of: sum(of) / len(by_seq)
+    assert share(n == 2048 for n in size.values()) > 0.95 and 0.1 < share(n == queries.LOSS for n in loss.values()) < 0.9
+    assert sum(2048 - n for n in size.values() if n & (n - 1)) < 0.005 * sum(size.values())
+    few = packing.pack(docs, tokenizer, loss_from="head", capacity=2048, max_segments=5, max_loss=queries.LOSS).groupBy("sequence_id").count()
+    assert few.agg(F.max("count")).first()[0] == 5 and few.where("count = 5").count() > 0.2 * few.count()
+
+
 def test_packing_limits(spark, tokenizer):
     docs = spark.createDataFrame([(i, prose(i, 3 + i % 40), (i * 7) % 60) for i in range(200)], "doc_id long, text string, prompt long")
     rows = packing.pack(docs.coalesce(1), tokenizer, loss_from="prompt", capacity=256, max_segments=4, max_loss=150, block=50).collect()
