@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality
 from quarry.llm.common import staged, table
 from quarry.llm.exact import exact_deduplicated
-from quarry.llm.mixing import clean_share, mix
+from quarry.llm.mixing import mix, substance
 from quarry.llm.packing import pack
 from quarry.llm.queries import bpe_50k
 from quarry.llm.simhash import near_deduplicated
@@ -18,8 +18,8 @@ from quarry.llm.simhash import near_deduplicated
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the neighbour vote predicts to be of label 1."""
     voter = quality.fit(docs, table(spark, sf_dir, "labels"))
-    marks = ("_quality_score", "_quality_kept")
-    return quality.score(docs, voter, to=marks).where(f"{marks[1]} = 1").drop(*marks)
+    score, kept = ("_".join([*docs.columns, mark]) for mark in ("score", "kept"))  # longer than any column's name, so none of them
+    return quality.score(docs, voter, to=(score, kept)).where(F.col(kept) == 1).drop(score, kept)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source to its target: a document stands in the result 0, 1 or 2 times."""
-    return mix(docs, weight=clean_share(F.col("text")))
+    """Takes each source to its target: a document stands in the result 0, 1 or 2 times.
+
+    Stages hand on the documents' own columns, and this one is of DataFrame operations only, so the first stage's score isn't at hand:
+    the weight is computed from the text.
+    """
+    return mix(docs, weight=substance(F.col("text")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
