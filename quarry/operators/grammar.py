@@ -39,13 +39,17 @@ def _join(words: Column) -> Column:
 
 
 def read(sentences: DataFrame) -> DataFrame:
-    """Sentences with what all rules look at: number of words, first words, place of the start, and whether a division header starts."""
-    rows = sentences.withColumn("n", F.size("toks")).withColumn("lex", F.transform("toks", lambda t: t["lexeme"]))
-    rows = rows.withColumns({"k0": _at(0, "type"), "w0": _at(0, "lexeme"), "k1": _at(1, "type"), "w1": _at(1, "lexeme"), "start": F.coalesce(F.get("toks", F.lit(0)), F.col("stop"))})
+    """Sentences with what all rules look at: number of words, first words, and whether a division header starts."""
+    rows = sentences.withColumns({"n": F.size("toks"), "k0": _at(0, "type"), "w0": _at(0, "lexeme"), "k1": _at(1, "type"), "w1": _at(1, "lexeme")})
     head = _is((F.col("k0") == "keyword") & (F.col("k1") == "keyword") & (F.col("w1") == "DIVISION"))
     return rows.withColumn("division", F.when(head, F.col("w0")))
 
 
+def worded(parts: DataFrame) -> DataFrame:
+    """`divisions` with the words' texts and the place of the start, which are cheaper to make again than to carry along."""
+    return parts.withColumns({"lex": F.transform("toks", lambda t: t["lexeme"]), "start": F.coalesce(F.get("toks", F.lit(0)), F.col("stop"))})
+
+
 def divisions(sentences: DataFrame, mode: str = "reference") -> DataFrame:
     """Sentences with `part` (identification, data or procedure; null outside) and the sentence that ends each division.
 

@@ -38,43 +38,64 @@ def instructions(statements: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("path", "program", F.lit(0).alias("block_ord"), F.lit(ENTRY).alias("block"), order.alias("instr_ord"), "opcode", "result", "args")
 
 
-def lower_ifs(nodes: DataFrame, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
+_LOWERED = "block_ord int, block string, instr_ord int, opcode string, args array<string>"
+
+
+def _lowered(nodes):
+    """One source's statement trees as blocks (rows without instr_ord) and instructions, in order; nested to any depth."""
+    import pandas as pd
+
+    nodes = nodes.sort_values("node")
+    path, known, kids = nodes["path"].iloc[0], {}, {}
+    for n, parent, branch, verb, operands in zip(nodes["node"], nodes["parent"], nodes["branch"], nodes["verb"], nodes["operands"], strict=True):
+        above = None if pd.isna(parent) else int(parent)
+        if n in known or (above is not None and (above not in known or branch not in ("then", "else"))):
+            raise ValueError(f"{path}: node {n} is there twice, or its parent {above} isn't there before it, or its branch is {branch!r}")
+        known[n] = verb, [] if operands is None else list(operands)
+        kids.setdefault((above, branch if above is not None else None), []).append(n)
+    out, used, block, instr = [(0, ENTRY, None, None, None)], 0, (0, ENTRY), 0
+    todo = [("node", n) for n in reversed(kids.get((None, None), []))]  # what comes next is last
+    while todo:
+        kind, what = todo.pop()
+        if kind == "block":
+            block, instr = (block[0] + 1, what), 0
+            out.append((*block, None, None, None))
+            continue
+        verb, args = known[what] if kind == "node" else ("JUMP", [what])
+        if verb in ("STOP RUN", "GOBACK"):
+            continue
+        if verb == "IF":
+            then, merge = f"if_then_{used + 1}", f"if_merge_{used + 2}"
+            other = f"if_else_{used + 3}" if (what, "else") in kids else None
+            used += 3 if other else 2
+            args = [args[0] if args else "", then, other or merge]
+            steps = [("block", then), *(("node", k) for k in kids.get((what, "then"), [])), ("jump", merge)]
+            if other:
+                steps += [("block", other), *(("node", k) for k in kids[what, "else"]), ("jump", merge)]
+            todo += reversed([*steps, ("block", merge)])
+        instr += 1
+        out.append((*block, instr, verb, args))
+    rows = pd.DataFrame(out, columns=[c.split()[0] for c in _LOWERED.split(", ")])
+    rows["instr_ord"] = rows["instr_ord"].astype("Int32")
+    rows.insert(0, "path", path)
+    return rows
+
+
+def lower_ifs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Instructions and blocks of statement trees with IF nodes: (ir, blocks).
 
     nodes: path, node (in the order of reading, parents first), parent (null at the top), branch ('then' or 'else' under an IF), verb,
     operands. One counter numbers labels in that order: then, merge, and else where there are else statements, without which the false
-    edge goes to the merge. A block row is there for each block, empty ones too.
+    edge goes to the merge. A block row is there for each block, empty ones too. Trees may be nested to any depth; a parent that isn't
+    there before its node is an error. A tree's order is a walk that columns can't express, so a task takes one source's nodes, of
+    which the upload limit bounds the number, and walks them once.
     """
-    ifs = nodes.where("verb = 'IF'").select("path", "node")
-    has_else = nodes.where("branch = 'else'").groupBy("path", "parent").agg(F.lit(True).alias("has_else")).withColumnRenamed("parent", "node")
-    ifs = ifs.join(has_else, ["path", "node"], "left").withColumn("has_else", F.coalesce("has_else", F.lit(False)))
-    # labels are taken when an IF is met, so the ones before it have taken theirs: then, merge and, if there, else
-    used = F.coalesce(F.sum(F.when(F.col("has_else"), 3).otherwise(2)).over(Window.partitionBy("path").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ifs = ifs.withColumn("used", used)
-    label = lambda kind, k: F.concat(F.lit(kind), (F.col("used") + k).cast("string"))
-    ifs = ifs.select("path", "node", "has_else", label("if_then_", 1).alias("then_label"), label("if_merge_", 2).alias("merge_label"), F.when(F.col("has_else"), label("if_else_", 3)).alias("else_label"))
-    # a statement's place is the path of (node, branch) steps to it: a branch opens before its statements and closes after them
-    steps = nodes.select("path", "node", "parent", "branch", "verb", "operands").withColumn("key", F.array(F.col("node").cast("int")))
-    up = nodes.select("path", F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("branch").alias("above_branch"))
-    for _ in range(max_depth):
-        steps = steps.join(up, ["path", "parent"], "left").select("path", "node", F.when(F.col("parent").isNotNull(), F.col("above")).alias("parent"), F.when(F.col("parent").isNotNull(), F.col("above_branch")).alias("branch"), "verb", "operands", F.when(F.col("parent").isNotNull(), F.concat(F.array(F.col("parent").cast("int"), F.when(F.col("branch") == "else", 3).otherwise(1)), F.col("key"))).otherwise(F.col("key")).alias("key"))
-    at = steps.join(ifs, ["path", "node"], "left")
-    mark = lambda k: F.concat(F.col("key"), F.array(F.lit(k)))
-    event = lambda k, kind, text: F.struct(mark(k).alias("key"), F.lit(kind).alias("kind"), text.alias("text"))
-    # an IF: the branch (0), then block (1, statements follow), jump (2), else block (3), jump (4), merge block (5)
-    branch = F.concat(F.lit("IF "), operand(F.coalesce(F.col("operands")[0], F.lit(""))), F.lit(" THEN "), F.col("then_label"), F.lit(" ELSE "), F.coalesce("else_label", "merge_label"))
-    jump = F.concat(F.lit("JUMP "), F.col("merge_label"))
-    events = F.when(F.col("verb") == "IF", F.concat(
-        F.array(event(0, "instr", branch), event(1, "block", F.col("then_label")), event(2, "instr", jump)),
-        F.when(F.col("has_else"), F.array(event(3, "block", F.col("else_label")), event(4, "instr", jump))).otherwise(F.array().cast("array<struct<key:array<int>,kind:string,text:string>>")),
-        F.array(event(5, "block", F.col("merge_label"))),
-    )).otherwise(F.array(event(0, "instr", instruction_text(F.col("verb"), F.lit(None), F.transform("operands", operand)))))
-    rows = at.where(~F.col("verb").isin("STOP RUN", "GOBACK")).select("path", F.explode(events).alias("e")).select("path", "e.*")
-    order = Window.partitionBy("path").orderBy("key")
-    rows = rows.withColumn("block_ord", F.coalesce(F.sum(F.when(F.col("kind") == "block", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int"))
-    blocks = rows.where("kind = 'block'").select("path", "block_ord", F.col("text").alias("block")).unionByName(nodes.select("path").distinct().select("path", F.lit(0).alias("block_ord"), F.lit(ENTRY).alias("block")))
-    instr = rows.where("kind = 'instr'").withColumn("instr_ord", F.row_number().over(Window.partitionBy("path", "block_ord").orderBy("key")))
-    return instr.select("path", "block_ord", "instr_ord", "text").join(blocks, ["path", "block_ord"]), blocks
+    path = f"path {nodes.schema['path'].dataType.simpleString()}"
+    rows = nodes.select("path", "node", "parent", "branch", "verb", "operands").groupBy("path").applyInPandas(_lowered, f"{path}, {_LOWERED}")
+    opcode = F.col("opcode")
+    args = F.when(opcode == "JUMP", F.col("args")).when(opcode == "IF", F.concat(F.array(operand(F.col("args")[0])), F.slice("args", 2, 2))).otherwise(F.transform("args", operand))
+    instr = rows.where("instr_ord IS NOT NULL").select("path", "block_ord", "instr_ord", instruction_text(opcode, F.lit(None), args).alias("text"), "block")
+    return instr, rows.where("instr_ord IS NULL").select("path", "block_ord", "block")
 
 
 def instruction_text(opcode: Column, result: Column, args: Column) -> Column:

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.cobol import is_keyword
 from ..functions.text import ascii_upper, quoted
 
-#: In order: comments, strings, numbers, words, white space, any one character. Every character falls in one match.
-PATTERN = r"""(?s)\*>[^\r\n]*|(?<![^\r\n])\*[^\r\n]*|"[^"\r\n]*"|'[^'\r\n]*'|[0-9]+|[A-Za-z][A-Za-z0-9-]*|[ \t\r\n]+|."""
+#: White space, then in order: comments, strings, numbers, words, any one character, the end. Every character falls in one match.
+PATTERN = r"""(?s)([ \t\r\n]*+)(\*>[^\r\n]*|(?<![^\r\n])\*[^\r\n]*|"[^"\r\n]*"|'[^'\r\n]*'|[0-9]+|[A-Za-z][A-Za-z0-9-]*|.|\z)"""
 _BREAK = r"\r\n|\r|\n"
 
 
 def matches(sources: DataFrame) -> DataFrame:
-    """Each match of the lexer with its place. Sources are dealt by path once; all that follows stays there."""
+    """path, i, m, offset, line, col of what isn't white space. Sources are dealt by path once; all that follows stays there."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sources.select("path", "text").repartition(parts, "path").select("path", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("i", "m"))
-    gap = F.col("m").rlike(r"^[ \t\r\n]")
-    rows = rows.select("*", F.char_length("m").alias("n"), gap.alias("gap"), F.when(gap, F.regexp_count("m", F.lit(_BREAK))).otherwise(0).alias("breaks"))
-    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).withColumn("line", (1 + F.coalesce(F.sum("breaks").over(before), F.lit(0))).cast("int"))
-    after_break = F.when(F.col("breaks") > 0, F.col("offset") + F.col("n") - F.char_length(F.regexp_extract("m", r"([ \t]*)$", 1)))
-    rows = rows.withColumn("brk", after_break)
-    return rows.withColumn("col", (F.col("offset") - F.coalesce(F.max("brk").over(before), F.lit(0)) + 1).cast("int")).drop("brk", "n", "breaks")
+    part = lambda k: F.regexp_extract_all("text", F.lit(PATTERN), F.lit(k))
+    rows = sources.select("path", "text").repartition(parts, "path").select("path", F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("m"))).alias("i", "x")).select("path", "i", "x.gap", "x.m").where("m <> ''")
+    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    broken = F.col("gap").rlike("[\r\n]")
+    rows = rows.withColumns({"n": F.char_length("m"), "breaks": F.when(broken, F.regexp_count("gap", F.lit(_BREAK))).otherwise(0), "tail": F.when(broken, F.char_length(F.regexp_extract("gap", r"([^\r\n]*)\z", 1)))})
+    rows = rows.withColumn("offset", (F.sum(F.char_length("gap") + F.col("n")).over(order) - F.col("n")).cast("int")).withColumn("line", (1 + F.sum("breaks").over(order)).cast("int"))
+    start = F.coalesce(F.max(F.col("offset") - F.col("tail")).over(order), F.lit(0))  # where the line begins
+    return rows.select("path", "i", "m", "offset", "line", (F.col("offset") - start + 1).cast("int").alias("col"))
 
 
 def typed(found: DataFrame) -> DataFrame:
-    """Matches without white space and comments, with type and lexeme; type null is a lexical error."""
+    """Matches without comments, with type and lexeme; type null is a lexical error."""
     m = F.col("m")
     word = m.rlike("^[A-Za-z]")
     lexeme = F.when(word, ascii_upper(F.regexp_replace(m, "-+$", ""))).otherwise(m)
@@ -37,25 +37,32 @@ def typed(found: DataFrame) -> DataFrame:
         .when(m.rlike("""(?s)^["'].*["']$""") & (F.char_length(m) >= 2), "string").when(m == ".", "period").when(m == ",", "comma")
         .when(m == "(", "lparen").when(m == ")", "rparen").when(m.isin(list(";:+-*/=<>")), "unknown")
     )
-    return found.where(~F.col("gap") & ~comment).select("path", "i", kind.alias("type"), lexeme.alias("lexeme"), "line", "col", "offset")
+    return found.where(~comment).select("path", "i", kind.alias("type"), lexeme.alias("lexeme"), "line", "col", "offset")
+
+
+def lexed(sources: DataFrame) -> DataFrame:
+    """path, tok_idx, type, lexeme, line, col, offset. A source with a lexical error has one row, its first error's, with type null."""
+    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wrong = F.min(F.when(F.col("type").isNull(), F.col("i"))).over(order)
+    rows = typed(matches(sources)).withColumn("wrong", wrong).where("wrong IS NULL OR i = wrong")
+    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("i")) - 1).alias("tok_idx"), "type", "lexeme", "line", "col", "offset")
 
 
 def tokens(sources: DataFrame) -> DataFrame:
-    """path, tok_idx, type, lexeme, line, col, offset of sources without lexical errors; a source with one gives no tokens."""
-    rows = typed(matches(sources))
-    whole = Window.partitionBy("path")
-    order = Window.partitionBy("path").orderBy("i")
-    rows = rows.withColumn("bad", F.max(F.col("type").isNull()).over(whole)).where("NOT bad")
-    return rows.select("path", (F.row_number().over(order) - 1).alias("tok_idx"), "type", "lexeme", "line", "col", "offset")
+    """The tokens of sources without lexical errors; a source with one gives no tokens."""
+    return lexed(sources).where("type IS NOT NULL")
 
 
 def lex_errors(sources: DataFrame) -> DataFrame:
     """The first lexical error of each source that has one."""
-    rows = typed(matches(sources)).where("type IS NULL")
-    first = rows.groupBy("path").agg(F.min(F.struct("offset", "line", "col", "lexeme")).alias("e"))
-    opened = F.col("e.lexeme").isin('"', "'")
-    message = F.when(opened, "unterminated string literal").otherwise(F.concat(F.lit("unexpected character "), quoted(F.col("e.lexeme"))))
-    return first.select("path", F.col("e.line").alias("line"), F.col("e.col").alias("col"), F.col("e.offset").alias("offset"), message.alias("message"))
+    return errors(lexed(sources).where("type IS NULL"))
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """path, line, col, offset, message of lexical errors."""
+    opened = F.col("lexeme").isin('"', "'")
+    message = F.when(opened, "unterminated string literal").otherwise(F.concat(F.lit("unexpected character "), quoted(F.col("lexeme"))))
+    return rows.select("path", "line", "col", "offset", message.alias("message"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -65,10 +72,14 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 def sentences(tokens: DataFrame) -> DataFrame:
-    """path, sent, toks, ended: tokens up to each period, which is left out; `ended` is false for what stands after the last one."""
+    """path, sent, toks, stop, ended, error: tokens up to each period, which is left out; `ended` is false for what stands after the last one.
+
+    A row without a type, as `lexed` has it, is a sentence that is an error and nothing else.
+    """
     before = Window.partitionBy("path").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = tokens.withColumn("sent", F.coalesce(F.sum(F.when(F.col("type") == "period", 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
     place = F.struct("tok_idx", "type", "lexeme", "line", "col", "offset")
     words = F.sort_array(F.collect_list(F.when(F.col("type") != "period", place)))
     stop = F.max(F.when(F.col("type") == "period", place))
-    return rows.groupBy("path", "sent").agg(words.alias("toks"), stop.alias("stop"), F.max(F.col("type") == "period").alias("ended"))
+    ended = F.coalesce(F.max(F.col("type") == "period"), F.lit(False))
+    return rows.groupBy("path", "sent").agg(words.alias("toks"), stop.alias("stop"), ended.alias("ended"), F.max(F.when(F.col("type").isNull(), place)).alias("error"))

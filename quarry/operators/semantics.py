@@ -13,10 +13,15 @@ from ..functions.text import ascii_upper, quoted
 _PLACE = ("line", "col", "offset")
 
 
+def programs(clauses: DataFrame) -> DataFrame:
+    """path, name, place of programs that have a name."""
+    return clauses.where("clause = 'PROGRAM-ID' AND value <> ''").select("path", ascii_upper(F.col("value")).alias("name"), *_PLACE)
+
+
 def declarations(clauses: DataFrame, items: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """All declared names in the order of registration: program, data items, paragraphs."""
     none = lambda t: F.lit(None).cast(t)
-    program = clauses.where("clause = 'PROGRAM-ID' AND value <> ''").select("path", F.lit(0).alias("family"), F.lit(0).alias("ord"), ascii_upper(F.col("value")).alias("name"), F.lit("program").alias("kind"), none("int").alias("level"), none("string").alias("picture"), *_PLACE)
+    program = programs(clauses).select("path", F.lit(0).alias("family"), F.lit(0).alias("ord"), "name", F.lit("program").alias("kind"), none("int").alias("level"), none("string").alias("picture"), *_PLACE)
     data = items.select("path", F.lit(1).alias("family"), F.col("item_ord").alias("ord"), "name", F.lit("variable").alias("kind"), "level", "picture", *_PLACE)
     labels = paragraphs.select("path", F.lit(2).alias("family"), F.col("para_ord").alias("ord"), "name", F.lit("paragraph").alias("kind"), none("int").alias("level"), none("string").alias("picture"), *_PLACE)
     return program.unionByName(data).unionByName(labels)

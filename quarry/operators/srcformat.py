@@ -26,32 +26,44 @@ def starts_in_area_a(line: Column) -> Column:
     return line.rlike(r"^ {7}[^ ]") & ~line.rlike(r"^ {7}\s")
 
 
-def evidence(text: Column) -> Column:
+def evidence(lines: Column) -> Column:
     """Share of the lines that aren't blank that look fixed; null where there are fewer than FIXED_LINES."""
-    shown = F.filter(lines(text), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
-    fixed = F.filter(shown, lambda s: looks_numbered(s) | starts_in_area_a(s))
-    return F.when(F.size(shown) >= FIXED_LINES, F.size(fixed) / F.size(shown))
+    shown = F.size(F.filter(lines, lambda s: s.rlike(r"\S")))
+    fixed = F.size(F.filter(lines, lambda s: s.rlike(r"\S") & (looks_numbered(s) | starts_in_area_a(s))))
+    return F.when(shown >= FIXED_LINES, fixed / shown)
 
 
-def directive(text: Column) -> Column:
+def directive(lines: Column) -> Column:
     """free or fixed by the first `>>SOURCE` line that says so."""
-    said = F.transform(lines(text), lambda s: F.regexp_extract(ascii_upper(F.regexp_replace(s, r"^\s+|\s+$", "")), r"^>>SOURCE\s*(FREE|FIXED)$", 1))
+    said = F.transform(F.filter(lines, lambda s: s.contains(">>")), lambda s: F.regexp_extract(ascii_upper(F.regexp_replace(s, r"^\s+|\s+$", "")), r"^>>SOURCE\s*(FREE|FIXED)$", 1))
     return F.lower(F.get(F.filter(said, lambda s: s != ""), F.lit(0)))
 
 
-def has_free_comment(text: Column) -> Column:
+def has_free_comment(lines: Column) -> Column:
     """A line that starts with `*>`, or has it after an even number of quotes of either kind."""
     def even(s: Column) -> Column:
         before = F.substring_index(s, "*>", 1)
         count = lambda q: F.char_length(before) - F.char_length(F.replace(before, F.lit(q), F.lit("")))
         return s.contains("*>") & (s.rlike(r"^\s*\*>") | ((count('"') % 2 == 0) & (count("'") % 2 == 0)))
 
-    return F.exists(lines(text), even)
+    return F.exists(lines, even)
+
+
+def with_format(sources: DataFrame) -> DataFrame:
+    """sources with source_format (free, fixed or unknown: by directive, then by free-format comments, then by evidence) and evidence.
+
+    A text is cut into lines once.
+    """
+    cut = sources.withColumn("_lines", lines(F.col("text")))
+    shown = cut.withColumn("evidence", evidence(F.col("_lines")))
+    found = F.coalesce(directive(F.col("_lines")), F.when(has_free_comment(F.col("_lines")), "free"), F.when(F.col("evidence") >= FIXED_SHARE, "fixed"), F.lit("unknown"))
+    return shown.withColumn("source_format", found).drop("_lines")
 
 
 def source_format(text: Column) -> Column:
-    """free, fixed or unknown: by directive, then by free-format comments, then by evidence."""
-    return F.coalesce(directive(text), F.when(has_free_comment(text), "free"), F.when(evidence(text) >= FIXED_SHARE, "fixed"), F.lit("unknown"))
+    """The same for a text alone."""
+    cut = lines(text)
+    return F.coalesce(directive(cut), F.when(has_free_comment(cut), "free"), F.when(evidence(cut) >= FIXED_SHARE, "fixed"), F.lit("unknown"))
 
 
 def with_endings(text: Column) -> Column:
@@ -68,6 +80,6 @@ def normalised(text: Column, source_format: Column) -> Column:
 
 def normalise(sources: DataFrame, extended: bool = False) -> DataFrame:
     """sources with source_format, and the text normalised by it; in extended mode text of an unknown format stays as it is."""
-    rows = sources.withColumn("source_format", source_format(F.col("text")))
+    rows = with_format(sources).drop("evidence")
     clean = normalised(F.col("text"), F.col("source_format"))
     return rows.withColumn("text", F.coalesce(clean, F.col("text")) if extended else clean)

@@ -23,13 +23,15 @@ MODES = ("reference", "extended")
 class Compilation:
     """Tables of a set of sources (path, text). Each is a DataFrame, made when it is first asked for.
 
-    Most tables start from the same sentences; with `keep` these are kept by path (in memory, then on disk), so that several tables lex
-    and deal the sources once. A lost executor's part is made anew from the sources. `close` drops them.
+    All tables start from the same sentences, with their divisions. With `keep` these are kept by path (in memory, then on disk), so that several tables lex
+    and deal the sources once, as are the narrow tables that most others join: statements, declarations and symbols. A lost executor's
+    part is made anew from the sources. `close` drops them, as leaving a `with` block does.
 
-    `lex` and `names` may be replaced: any functions from sources to tokens, and from symbols to (path, program).
+    `lex` and `names` may be replaced: any functions from sources to tokens (a source's lexical error being a row without a type), and
+    from symbols to (path, program).
     """
 
-    def __init__(self, sources: DataFrame, mode: str = "reference", *, keep: bool = True, lex: Callable[[DataFrame], DataFrame] = lexer.tokens, names: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, sources: DataFrame, mode: str = "reference", *, keep: bool = True, lex: Callable[[DataFrame], DataFrame] = lexer.lexed, names: Callable[[DataFrame], DataFrame] | None = None):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         self.keep = keep
@@ -37,23 +39,34 @@ class Compilation:
         # Spark 4.1 plans unions as partitioned like their inputs, but adaptive execution may then run them with the sum of their partitions
         sources.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
 
+    def __enter__(self) -> Compilation:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._lex(self.sources)
+        return self._lex(self.sources).where("type IS NOT NULL")
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        """Sentences with their divisions; a source with a lexical error is one row."""
+        return self._kept(grammar.divisions(lexer.sentences(self._lex(self.sources)), self.mode))
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else rows
 
     @cached_property
     def lex_errors(self) -> DataFrame:
-        return lexer.lex_errors(self.sources)
+        return lexer.errors(self._read.where("error IS NOT NULL").select("path", "error.*"))
 
     @cached_property
     def parts(self) -> DataFrame:
-        return self._kept(grammar.divisions(lexer.sentences(self.tokens), self.mode))
-
-    def _kept(self, rows: DataFrame) -> DataFrame:
-        return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else rows
+        return grammar.worded(self._read.where("error IS NULL").drop("error"))
 
     def close(self) -> None:
-        for name in ("parts", "procedure", "declarations", "symbols"):
+        for name in ("_read", "statements", "declarations", "symbols"):
             if self.keep and name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -71,7 +84,7 @@ class Compilation:
 
     @cached_property
     def procedure(self) -> DataFrame:
-        return self._kept(grammar.procedure(self.parts, self.mode))
+        return grammar.procedure(self.parts, self.mode)
 
     @cached_property
     def paragraphs(self) -> DataFrame:
@@ -79,7 +92,7 @@ class Compilation:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return grammar.statements(self.procedure)
+        return self._kept(grammar.statements(self.procedure))
 
     @cached_property
     def syntax_diagnostics(self) -> DataFrame:
@@ -105,7 +118,7 @@ class Compilation:
         """path, program: every source with a tree, the name empty where there is none."""
         if self._names is not None:
             return self._names(self.symbols)
-        named = semantics.symbols_of_kind(self.symbols, "program").select("path", F.col("name").alias("program"))
+        named = semantics.programs(self.clauses).select("path", F.col("name").alias("program"))  # a program's is the first of its names
         return self.program.where("NOT fatal").select("path").join(named, "path", "left").withColumn("program", F.coalesce("program", F.lit("")))
 
     @cached_property

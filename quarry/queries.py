@@ -118,8 +118,7 @@ def x08_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'order-' || l_orderkey || '.cbl' AS path, CASE WHEN count(*) >= 5 THEN 'fixed' ELSE 'unknown' END AS source_format, CASE WHEN count(*) >= 5 THEN 1.0::DOUBLE END AS evidence FROM lineitem GROUP BY l_orderkey")
 def x11_a04_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synth.fixed_sources(read(spark, sf_dir, "lineitem"))
-    return rows.select("path", srcformat.source_format(F.col("text")).alias("source_format"), srcformat.evidence(F.col("text")).alias("evidence"))
+    return srcformat.with_format(synth.fixed_sources(read(spark, sf_dir, "lineitem"))).select("path", "source_format", "evidence")
 
 
 @query("""SELECT 'order-' || l_orderkey || '.cbl' AS path, string_agg(' ' || rpad('    MOVE ' || trunc(l_quantity)::BIGINT || ' TO Q-' || l_partkey || '.', 65, ' ') || chr(10), '' ORDER BY l_linenumber, l_partkey, trunc(l_quantity)::BIGINT::VARCHAR) AS text FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 5""")
@@ -160,15 +159,26 @@ _VERBS = {
 }
 
 
-def compiled_orders(spark: SparkSession, sf_dir: str) -> Compilation:
-    return Compilation(synth.order_programs(read(spark, sf_dir, "orders")), keep=False)
+_held: list[Compilation] = []
+
+
+def compiled(sources: DataFrame, mode: str = "reference", **how) -> Compilation:
+    """A compilation that keeps its sentences until the next one of a query is made, so that many queries don't fill a session's storage."""
+    while _held:
+        _held.pop().close()
+    _held.append(Compilation(sources, mode, **how))
+    return _held[0]
+
+
+def compiled_orders(spark: SparkSession, sf_dir: str, **how) -> Compilation:
+    return compiled(synth.order_programs(read(spark, sf_dir, "orders")), **how)
 
 
 def _verb(name: str, rest: int, verb: str, operands: str) -> None:
     also = f" UNION ALL SELECT {_PATH}, 'NAME-' || o_custkey || '|O-' || o_orderkey FROM orders WHERE o_orderkey % 8 = 7" if verb == "MOVE" else ""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compiled_orders(spark, sf_dir).statements.where(F.col("verb") == verb).select("path", F.array_join("operands", "|").alias("operands"))
+        return compiled_orders(spark, sf_dir, keep=False).statements.where(F.col("verb") == verb).select("path", F.array_join("operands", "|").alias("operands"))
 
     query(f"SELECT {_PATH} AS path, {operands} AS operands FROM orders WHERE o_orderkey % 8 = {rest}{also}", name)(run)
 
@@ -179,19 +189,19 @@ for _name, _args in _VERBS.items():
 
 @query(f"SELECT DISTINCT {_PATH} AS path, 'STOP RUN' AS verb, 1 AS para_ord FROM orders")
 def g19_stop_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled_orders(spark, sf_dir).statements.where("verb = 'STOP RUN'").select("path", "verb", "para_ord")
+    return compiled_orders(spark, sf_dir, keep=False).statements.where("verb = 'STOP RUN'").select("path", "verb", "para_ord")
 
 
 @query(f"SELECT DISTINCT {_PATH} AS path, 'PROGRAM-ID' AS clause, 'CUST-' || o_custkey AS value, 'MAIN-PARA' AS paragraph FROM orders")
 def g03_g14_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Compilation(synth.order_programs(read(spark, sf_dir, "orders")))
+    c = compiled_orders(spark, sf_dir)
     return c.clauses.select("path", "clause", "value").join(c.paragraphs.select("path", F.col("name").alias("paragraph")), "path")
 
 
 @query(f"""SELECT {_PATH} AS path, 1 AS level, 'O-' || o_orderkey AS name, 'elementary' AS kind, '9(7)' AS picture, NULL AS value FROM orders, range(CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END)
 UNION ALL SELECT DISTINCT {_PATH}, 1, 'NAME-' || o_custkey, 'elementary', 'X(20)', 'SPACES' FROM orders""")
 def g10_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled_orders(spark, sf_dir).items.select("path", "level", "name", "kind", "picture", "value")
+    return compiled_orders(spark, sf_dir, keep=False).items.select("path", "level", "name", "kind", "picture", "value")
 
 
 @query("""SELECT 'part-' || p_partkey || '.cbl' AS path, u.* FROM part, LATERAL (VALUES
@@ -199,7 +209,7 @@ def g10_items(spark: SparkSession, sf_dir: str) -> DataFrame:
   ('PART-PRICE', 5, 'numeric', (p_partkey % 9 + 3)::INT, true, 2, NULL), ('PART-CODE', 5, 'numeric', (p_partkey % 9 + 1)::INT, false, 0, NULL),
   ('PART-EDIT', 5, NULL, NULL, NULL, NULL, NULL), ('IS-BIG', 88, 'group', NULL, NULL, NULL, NULL), ('PART-SPARE', 77, 'alphanumeric', NULL, NULL, NULL, 2)) u(name, level, category, digits, signed, decimal_places, length)""")
 def x19_x20_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Compilation(synth.item_programs(read(spark, sf_dir, "part")), keep=False)
+    c = compiled(synth.item_programs(read(spark, sf_dir, "part")), keep=False)
     return c.symbols.where("kind = 'variable'").select("path", "name", "level", *(F.col(f"ctype.{f}").alias(f) for f in ("category", "digits", "signed", "decimal_places", "length")))
 
 
@@ -207,18 +217,18 @@ def x19_x20_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT {_PATH}, 'SEM003', 'O-' || o_orderkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 8 IN (0, 1, 7)
 UNION ALL SELECT {_PATH}, 'SEM010', 'O-' || o_orderkey FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 8 = 7""")
 def j01_j03_sem001_sem003_sem010(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Compilation(synth.order_programs(read(spark, sf_dir, "orders")))
+    c = compiled_orders(spark, sf_dir)
     return c.diagnostics.select("path", "code", F.regexp_extract("message", r".*'([^']+)'", 1).alias("name"))
 
 
 @query("""SELECT 'supp-' || s_suppkey || '.cbl' AS path, u.code FROM supplier, LATERAL (VALUES (3, 'SEM007'), (4, 'SEM006'), (4, 'SEM008')) u(kind, code) WHERE s_suppkey % 5 = u.kind""")
 def sem006_sem007_sem008(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.broken_programs(read(spark, sf_dir, "supplier"))).diagnostics.select("path", "code")
+    return compiled(synth.broken_programs(read(spark, sf_dir, "supplier"))).diagnostics.select("path", "code")
 
 
 @query("""SELECT 'supp-' || s_suppkey || '.cbl' AS path, CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN 0 ELSE 3 END::BIGINT AS statements FROM supplier""")
 def w07_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Compilation(synth.broken_programs(read(spark, sf_dir, "supplier")))
+    c = compiled(synth.broken_programs(read(spark, sf_dir, "supplier")))
     n = c.statements.groupBy("path").agg(F.count("*").alias("statements"))
     return c.program.select("path").join(n, "path", "left").select("path", F.coalesce("statements", F.lit(0)).alias("statements"))
 
@@ -226,12 +236,12 @@ def w07_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'supp-' || s_suppkey || '.cbl' AS path, u.message, u.sync_point, u.skipped::INT AS tokens_skipped FROM supplier, LATERAL (VALUES
   (0, 'expected ''.'' after paragraph label ''COMPUTE'', got ''X''', 'PERIOD', 4), (1, 'expected source operand after MOVE', 'PARAGRAPH', 2), (2, 'expected operand after ADD', 'PERIOD', 3)) u(kind, message, sync_point, skipped) WHERE s_suppkey % 5 = u.kind""")
 def r01_synchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.broken_programs(read(spark, sf_dir, "supplier"))).syntax_diagnostics.select("path", "message", "sync_point", "tokens_skipped")
+    return compiled(synth.broken_programs(read(spark, sf_dir, "supplier"))).syntax_diagnostics.select("path", "message", "sync_point", "tokens_skipped")
 
 
 @query("SELECT list_extract(['DISPLAY', 'MOVE', 'ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE', 'CALL', 'MOVE'], (o_orderkey % 8 + 1)::INT) AS opcode, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def i01_i08_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).ir.groupBy("opcode").agg(F.count("*").alias("n"))
+    return compiled_orders(spark, sf_dir).ir.groupBy("opcode").agg(F.count("*").alias("n"))
 
 
 _LINES = f"""CASE o_orderkey % 8 WHEN 0 THEN 'DISPLAY O-' || o_orderkey WHEN 1 THEN 'MOVE ' || {_N} || ' -> O-' || o_orderkey WHEN 2 THEN 'ADD ' || {_N} || ' TO O-' || o_orderkey
@@ -241,7 +251,7 @@ _LINES = f"""CASE o_orderkey % 8 WHEN 0 THEN 'DISPLAY O-' || o_orderkey WHEN 1 T
 
 @query(f"""SELECT {_PATH} AS path, 'Program CUST-' || o_custkey || E'\\n\\n  Module CUST-' || o_custkey || E'\\n\\n    Function __entry__\\n\\n      entry:\\n' || string_agg('        ' || {_LINES}, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey""")
 def a06_x29_ir_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).ir_text
+    return compiled_orders(spark, sf_dir).ir_text
 
 
 @query(f"""WITH items AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 7 > 0),
@@ -249,17 +259,17 @@ f AS (SELECT o_custkey, string_agg('    private int o' || o_orderkey || ';' || c
 s AS (SELECT o_custkey, string_agg('        // IR: ' || {_LINES} || chr(10), '' ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey)
 SELECT 'cust-' || s.o_custkey || '.cbl' AS path, 'public class Cust' || s.o_custkey || E' {{\\n\\n    private String name' || s.o_custkey || E';\\n' || coalesce(f, '') || E'\\n    public static void main(String[] args) {{\\n\\n' || s || E'\\n    }}\\n\\n}}\\n' AS source FROM s LEFT JOIN f USING (o_custkey)""")
 def b04_java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).java_sources
+    return compiled_orders(spark, sf_dir).java_sources
 
 
 @query("""SELECT 'part-' || p_partkey || '.cbl' AS path, u.* FROM part, LATERAL (VALUES ('partRec', 'String', 'PART-REC'), ('partName', 'String', 'PART-NAME'), ('partPrice', 'double', 'PART-PRICE'), ('partCode', 'int', 'PART-CODE'), ('isBig', 'String', 'IS-BIG'), ('partSpare', 'String', 'PART-SPARE')) u(java_name, java_type, cobol_name)""")
 def b01_x23_java_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.item_programs(read(spark, sf_dir, "part")), keep=False).java_fields.select("path", "java_name", "java_type", "cobol_name")
+    return compiled(synth.item_programs(read(spark, sf_dir, "part"))).java_fields.select("path", "java_name", "java_type", "cobol_name")
 
 
 @query("""SELECT 'part-' || p_partkey || '.cbl' AS path, 'BE003' AS code, 'variable ''PART-EDIT'' has no resolved COBOL type; skipping field generation.' AS message FROM part""")
 def b01_java_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.item_programs(read(spark, sf_dir, "part"))).java_diagnostics.select("path", "code", "message")
+    return compiled(synth.item_programs(read(spark, sf_dir, "part"))).java_diagnostics.select("path", "code", "message")
 
 
 _CAP = "upper(x[1]) || lower(x[2:])"
@@ -288,7 +298,7 @@ def i09_i10_if_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_PATH} AS path, CASE WHEN bool_or((o_orderkey % 11 = 0 AND o_orderkey % 7 > 0) OR (o_orderkey % 7 = 0 AND o_orderkey % 8 IN (0, 1, 7)) OR (o_orderkey % 7 > 0 AND o_orderkey % 8 = 7)) THEN 2 ELSE 0 END AS code FROM orders GROUP BY o_custkey")
 def s10_a03_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).exit_codes
+    return compiled_orders(spark, sf_dir).exit_codes
 
 
 @query("SELECT list_extract(['DISPLAY', 'MOVE', 'ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE', 'CALL', 'MOVE'], (o_orderkey % 8 + 1)::INT) AS verb, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -297,7 +307,7 @@ def u02_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import functools
 
     verbs = ["DISPLAY", "MOVE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "CALL"]
-    found = Compilation(synth.order_programs(read(spark, sf_dir, "orders"))).visit("statements", {v: lambda rows: rows.groupBy("verb").agg(F.count("*").alias("n")) for v in verbs})
+    found = compiled_orders(spark, sf_dir).visit("statements", {v: lambda rows: rows.groupBy("verb").agg(F.count("*").alias("n")) for v in verbs})
     return functools.reduce(DataFrame.unionByName, found.values())
 
 

@@ -12,9 +12,13 @@ from ..sources.files import described, expanded
 
 
 def uploads(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of path, filename, content, received of the files that come to a folder."""
-    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.col("modificationTime").alias("received"))
+    """A stream of path, filename, content, received of the files that come to a folder.
+
+    `received` is when the stream meets a file, not the file's own time stamp, which may be of any age: by that a watermark would take
+    an old file for a late one and leave it out.
+    """
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").load(folder)
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.current_timestamp().alias("received"))
 
 
 def run(spark: SparkSession, folder: str, to: str, checkpoint: str, *, keep: str = "7 days", each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

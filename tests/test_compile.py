@@ -159,13 +159,76 @@ def test_java(compiled):
 def test_nested_ifs(spark):
     nodes = [("n", 1, None, None, "IF", ["A"]), ("n", 2, 1, "then", "IF", ["B"]), ("n", 3, 2, "then", "DISPLAY", ["1"]), ("n", 4, None, None, "DISPLAY", ["2"])]
     df = spark.createDataFrame(nodes, "path string, node int, parent int, branch string, verb string, operands array<string>")
-    found, blocks = ir.lower_ifs(df, 3)
+    found, blocks = ir.lower_ifs(df)
     assert sorted((r.block_ord, r.block) for r in blocks.collect()) == [(0, "entry"), (1, "if_then_1"), (2, "if_then_3"), (3, "if_merge_4"), (4, "if_merge_2")]
     assert sorted((r.block_ord, r.instr_ord, r.text) for r in found.collect()) == [(0, 1, "IF A THEN if_then_1 ELSE if_merge_2"), (1, 1, "IF B THEN if_then_3 ELSE if_merge_4"), (2, 1, "DISPLAY 1"), (2, 2, "JUMP if_merge_4"), (3, 1, "JUMP if_merge_2"), (4, 1, "DISPLAY 2")]
     edges = {(r.from_block, r.target, r.to_block) for r in ir.cfg_edges(found, blocks).collect()}
     assert (0, "if_then_1", 1) in edges and (0, "if_merge_2", 4) in edges and (3, "if_merge_2", 4) in edges
 
 
+def lowered(tree):
+    """Blocks and lines of a tree of nodes, by plain recursion. A node is a text, or (condition, then, else)."""
+    blocks, used = [["entry"]], 0
+
+    def walk(nodes):
+        nonlocal used
+        for n in nodes:
+            if isinstance(n, str):
+                blocks[-1].append(f"DISPLAY {n}")
+                continue
+            cond, then, other = n
+            a, b, c = f"if_then_{used + 1}", f"if_merge_{used + 2}", f"if_else_{used + 3}" if other else None
+            used += 3 if other else 2
+            blocks[-1].append(f"IF {cond} THEN {a} ELSE {c or b}")
+            for label, part in ((a, then), (c, other)):
+                if label:
+                    blocks.append([label])
+                    walk(part)
+                    blocks[-1].append(f"JUMP {b}")
+            blocks.append([b])
+
+    walk(tree)
+    return blocks
+
+
+def as_nodes(path, tree):
+    rows = []
+
+    def put(nodes, parent, branch):
+        for n in nodes:
+            at = len(rows) + 1
+            rows.append((path, at, parent, branch, "DISPLAY" if isinstance(n, str) else "IF", [n if isinstance(n, str) else n[0]]))
+            if not isinstance(n, str):
+                put(n[1], at, "then")
+                put(n[2], at, "else")
+
+    put(tree, None, None)
+    return rows
+
+
+def test_ifs_of_any_depth(spark):
+    rng = random.Random(11)
+
+    def tree(depth):
+        return [f"D{rng.randint(0, 9)}" if depth == 0 or rng.random() < 0.5 else (f"C{rng.randint(0, 9)}", tree(depth - 1), tree(depth - 1) if rng.random() < 0.5 else []) for _ in range(rng.randint(1, 3))]
+
+    trees = {f"t{i}": tree(i % 6) for i in range(40)}
+    deep = ["X"]
+    for i in range(200):
+        deep = [(f"C{i}", deep, ["E"] if i % 3 == 0 else [])]
+    trees["deep"] = deep
+    df = spark.createDataFrame([r for p, t in trees.items() for r in as_nodes(p, t)], "path string, node int, parent int, branch string, verb string, operands array<string>")
+    found, blocks = ir.lower_ifs(df)
+    made = {(r.path, r.block_ord): [r.block] for r in blocks.collect()}
+    for r in sorted(found.collect(), key=lambda r: (r.path, r.block_ord, r.instr_ord)):
+        made[r.path, r.block_ord].append(r.text)
+    for p, t in trees.items():
+        assert [v for (q, _), v in sorted(made.items()) if q == p] == lowered(t), p
+    for bad in ([("x", 1, 2, "then", "DISPLAY", ["A"]), ("x", 2, 1, "then", "DISPLAY", ["A"])], [("x", 1, None, None, "IF", ["A"]), ("x", 2, 1, "so", "DISPLAY", ["A"])]):
+        with pytest.raises(Exception, match="node"):
+            ir.lower_ifs(spark.createDataFrame(bad, df.schema))[0].collect()
+
+
 def plain_reader(sentences):
     """A cursor over tokens: what a procedure division's paragraphs and statements are. Its own code, for the windows to agree with."""
     verbs = {"DISPLAY", "MOVE", "STOP", "GOBACK", "ACCEPT", "ADD", "CALL"}

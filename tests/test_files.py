@@ -1,6 +1,7 @@
 """Files, archives, workspaces, summaries, intake."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -37,6 +38,68 @@ def test_scan_and_summary(spark, folder):
     assert files.read_sources(spark, str(folder)).count() == 2
 
 
+def test_empty_files_and_odd_names_are_scanned(spark, folder):
+    for name in ("nothing.cbl", "subdir/a b%20.cpy"):
+        (folder / name).write_bytes(b"")
+    (folder / "größe 1.txt").write_bytes("ß".encode())
+    got = {r.path: (r.size_bytes, r.encoding) for r in files.scan(spark, str(folder)).collect()}
+    assert got["nothing.cbl"] == got["subdir/a b%20.cpy"] == (0, "UNKNOWN") and got["größe 1.txt"][0] == 2 and len(got) == 8
+
+
+def damaged_archives():
+    """Damage to the directory, to a member's data, to its checksum, and at the end, each of an archive whose first member is whole."""
+    text = b"IDENTIFICATION DIVISION.\n" * 60
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("first.cbl", b"FIRST.")
+        z.writestr("second.cbl", text)
+    whole = out.getvalue()
+    at = whole.index(b"second.cbl") + len("second.cbl")
+    inflate = whole[:at] + b"\xff" * 8 + whole[at + 8 :]
+    check = bytearray(whole)
+    crc = whole.rindex(b"PK\x01\x02") + 16
+    check[crc] ^= 1
+    return {"whole.zip": (whole, 2), "inflate.zip": (inflate, 1), "check.zip": (bytes(check), 1), "cut.zip": (whole[:-30], 0), "none.zip": (b"", 0)}
+
+
+def test_damaged_archives(spark):
+    """Members before the damage are there, and the damage is told; other archives are not touched by it."""
+    given = damaged_archives()
+    rows = spark.createDataFrame([(n, n, c) for n, (c, _) in given.items()], "path string, filename string, content binary")
+    got = {r.path: r["count"] for r in files.expanded(rows).groupBy(F.substring_index("path", "!", 1).alias("path")).count().collect()}
+    assert got == {n: k for n, (_, k) in given.items() if k}
+    assert {r.path for r in files.damaged(rows).collect()} == {n for n in given if n != "whole.zip"}
+
+
+def test_save_survives_a_lost_driver(spark, tmp_path, monkeypatch):
+    w = files.Workspaces(spark, str(tmp_path / "ws"))
+    rows = lambda *names: files.described(spark.createDataFrame([(n, n, b"x") for n in names], "path string, filename string, content binary"), "one")
+    w.save("one", rows("a.cbl"))
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(files.Workspaces, "_move", lost)
+        with pytest.raises(KeyboardInterrupt):
+            w.save("one", rows("b.cbl", "c.cbl"))
+    assert [r.path for r in files.Workspaces(spark, str(tmp_path / "ws")).get("one").collect()] == ["a.cbl"]
+    w.save("one", rows("b.cbl", "c.cbl"))
+    assert w.get("one").count() == 2 and w.all().count() == 2
+
+
+def test_sources_over_the_limit(spark, folder):
+    (folder / "big.cbl").write_bytes(b"A" * (1024 * 1024 + 1))
+    assert files.read_sources(spark, str(folder), max_mb=1).count() == 2
+    assert [tuple(r) for r in files.too_large(spark, str(folder), max_mb=1).collect()] == [("big.cbl", 1024 * 1024 + 1)]
+
+
+def test_an_error_says_how_many_more_there_are(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i:02d}.exe", b"x") for i in range(23)], "filename string, content binary")
+    with pytest.raises(ValueError, match="00.exe.*and 3 more"):
+        files.ingest(rows, files.Workspaces(spark, str(tmp_path)), "w")
+
+
 def batch(spark, **content):
     return spark.createDataFrame([(n.replace("_", "."), c) for n, c in content.items()], "filename string, content binary")
 
@@ -74,6 +137,7 @@ def test_intake(spark, folder, tmp_path):
     intake.run(spark, str(folder), to, at).awaitTermination()
     assert spark.read.parquet(to).count() == 5
     (folder / "late.cbl").write_bytes(b"L.")
+    os.utime(folder / "late.cbl", (1e9, 1e9))  # an old file that comes late is taken like any other
     intake.run(spark, str(folder), to, at).awaitTermination()
     got = spark.read.parquet(to)
     assert got.count() == 6 and got.where(F.col("filename") == "late.cbl").count() == 1
