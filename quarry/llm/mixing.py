@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, staged, words_in
+from .common import staged, words_in, words_of
 
 CELLS = 4096
 
@@ -25,11 +25,11 @@ MARKS = "!|*$"
 def substance(text: Column) -> Column:
     """A quality weight from the text alone, 0.05 to 1: the share of its words that are distinct, times the share of its characters that
     are no MARKS. What repeats itself or is full of marks weighs little; so do null texts and texts without words."""
-    words = F.filter(F.split(text, GAP, -1), lambda w: w != "")
+    words = words_of(text)
     size = F.char_length(text)
     marks = sum((size - F.char_length(F.replace(text, F.lit(m), F.lit(""))) for m in MARKS), F.lit(0))
-    share = F.size(F.array_distinct(words)).cast("double") / F.size(words).cast("double")
-    return F.when(F.size(words) > 0, F.greatest(F.lit(0.05), share * (1.0 - marks.cast("double") / size.cast("double")))).otherwise(0.05)
+    share = F.try_divide(F.size(F.array_distinct(words)).cast("double"), F.size(words).cast("double"))
+    return F.greatest(F.lit(0.05), share * (1.0 - F.try_divide(marks.cast("double"), size.cast("double"))))  # no branches, so that words are cut once
 
 
 def uniform(key: Column, seed: str) -> Column:
