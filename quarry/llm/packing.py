@@ -80,38 +80,42 @@ class Packer:
     def place(self, out, capacity: int | None = None) -> None:
         """Fills sequences while the open pieces have tokens for a whole one; with a capacity given, fills one of that size."""
         size = int(self.limit[0]) if capacity is None else capacity
-        pool = self.open
-        demand = np.array([(e - s, 1, self.loss(x, s, e)) for x, s, e in pool], float).reshape(-1, 3)
-        alive, total, once = np.ones(len(pool), bool), int(demand[:, 0].sum()), capacity is not None
+        pool, once = self.open, capacity is not None
+        tokens, losses = (np.array(v, float) for v in ([e - s for _, s, e in pool], [self.loss(*p) for p in pool]))
+        alive, total, most = np.ones(len(pool), bool), int(tokens.sum()), self.limit.tolist()
         while total >= size and alive.any():
-            left, taken = np.array([size, *self.limit[1:]]), []
+            left, taken = [float(size), *most[1:]], []
             while left[0] > 0 and left[1] > 0:
-                at = np.flatnonzero(alive)
-                if not len(at):
-                    break
-                score = (demand[at] / self.limit) @ (left / self.limit)
-                fits = (demand[at] <= left).all(axis=1)
-                i = at[np.argmax(np.where(fits, score, -1) if fits.any() else score)]
+                # demand's shares of the limits, times the shares that are left; the segment's own is the same for all
+                score = tokens * (left[0] / most[0] ** 2) + losses * (left[2] / most[2] ** 2)
+                score[~alive] = -1
+                fits = np.where((tokens <= left[0]) & (losses <= left[2]), score, -1)
+                i = int(np.argmax(fits))
+                if fits[i] < 0:
+                    i = int(np.argmax(score))
+                    if score[i] < 0:
+                        break
                 example, start, end = pool[i]
                 stop = self.cut(example, start, end, int(left[0]), int(left[2]))
                 if stop == start:  # no loss-bearing token fits any more: take a piece that starts with others, if one is there
-                    free = [j for j in at if pool[j][1] < pool[j][0][3]]
-                    if not free:
+                    i = next((j for j in np.flatnonzero(alive) if pool[j][1] < pool[j][0][3]), None)
+                    if i is None:
                         break
-                    i = free[0]
                     example, start, end = pool[i]
                     stop = self.cut(example, start, end, int(left[0]), int(left[2]))
                 taken.append((example, start, stop))
-                left -= (stop - start, 1, self.loss(example, start, stop))
+                left = [left[0] - (stop - start), left[1] - 1, left[2] - self.loss(example, start, stop)]
                 total -= stop - start
                 if stop < end:
-                    pool[i] = (example, stop, end)
-                    demand[i] = (end - stop, 1, self.loss(example, stop, end))
+                    pool[i], tokens[i], losses[i] = (example, stop, end), end - stop, self.loss(example, stop, end)
                 else:
                     alive[i] = False
             self.emit(taken, out)
             if once:
                 break
+            if 2 * alive.sum() < len(pool):  # what is placed isn't looked at again
+                at = np.flatnonzero(alive)
+                pool, tokens, losses, alive = [pool[i] for i in at], tokens[at], losses[at], np.ones(len(at), bool)
         self.open = [pool[i] for i in np.flatnonzero(alive)]
 
     def finish(self, out) -> None:
