@@ -10,7 +10,9 @@ from quarry import queries as engine
 from quarry.session import session
 
 HEADLINE = ["x05_metadata", "x03_x04_encoding", "a01_summary", "x11_a04_format", "l01_l09_token_counts", "g18_move", "g10_items", "j01_j03_sem001_sem003_sem010", "i01_i08_opcodes", "a06_x29_ir_text", "b04_java_sources"]
-LLM = ["op2_mixing", "op3_simhash", "op5_exact_dedup", "op7_repeats", "op9_quality", "op10_packing"]
+LLM = [
+    "op1_token_records", "op2_mixing", "op3_simhash", "op4_fingerprints", "op5_exact_dedup", "op6_personal_data", "op7_repeats", "op8_preferences", "op9_quality", "op10_packing",
+]
 
 
 def main() -> None:
