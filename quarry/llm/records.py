@@ -117,7 +117,8 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc
             f.write(np.array(index, "<i8").tobytes())
         return path, len(index) // 2, total
 
-    return staged(rows.mapInArrow(write, MANIFEST), "manifest").orderBy("shard")
+    # a shard's row goes by a shuffle, so the manifest is a few files and not one for each task that writes records
+    return staged(rows.mapInArrow(write, MANIFEST).repartition("shard"), "manifest").orderBy("shard")
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
