@@ -9,15 +9,16 @@ from ..functions.cobol import is_keyword
 from ..functions.text import ascii_upper, quoted
 
 #: White space, then in order: comments, strings, numbers, words, any one character, the end. Every character falls in one match.
-PATTERN = r"""(?s)([ \t\r\n]*+)(\*>[^\r\n]*|(?<![^\r\n])\*[^\r\n]*|"[^"\r\n]*"|'[^'\r\n]*'|[0-9]+|[A-Za-z][A-Za-z0-9-]*|.|\z)"""
+PATTERN = r"""(?s)[ \t\r\n]*+(?:\*>[^\r\n]*|(?<![^\r\n])\*[^\r\n]*|"[^"\r\n]*"|'[^'\r\n]*'|[0-9]+|[A-Za-z][A-Za-z0-9-]*|.|\z)"""
 _BREAK = r"\r\n|\r|\n"
 
 
 def matches(sources: DataFrame) -> DataFrame:
     """path, i, m, offset, line, col of what isn't white space. Sources are dealt by path once; all that follows stays there."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = lambda k: F.regexp_extract_all("text", F.lit(PATTERN), F.lit(k))
-    rows = sources.select("path", "text").repartition(parts, "path").select("path", F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("m"))).alias("i", "x")).select("path", "i", "x.gap", "x.m").where("m <> ''")
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("i", "x")
+    rows = sources.select("path", "text").repartition(parts, "path").select("path", found).withColumn("m", F.ltrim("x", F.lit(" \t\r\n"))).where("m <> ''")
+    rows = rows.select("path", "i", "m", F.expr("left(x, char_length(x) - char_length(m))").alias("gap"))
     order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     broken = F.col("gap").rlike("[\r\n]")
     rows = rows.withColumns({"n": F.char_length("m"), "breaks": F.when(broken, F.regexp_count("gap", F.lit(_BREAK))).otherwise(0), "tail": F.when(broken, F.char_length(F.regexp_extract("gap", r"([^\r\n]*)\z", 1)))})
