@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import AFTER_DATA, AFTER_IDENTIFICATION, AFTER_PROCEDURE, CLAUSES, EXTENDED_VERBS, LEVELS, SPLIT, VERBS
-from ..functions.text import quoted
+from ..functions.text import ascii_upper, quoted
 
 
 def _whole() -> WindowSpec:
@@ -99,15 +99,25 @@ def program(parts: DataFrame) -> DataFrame:
     )
 
 
-def clauses(parts: DataFrame, mode: str = "reference") -> DataFrame:
-    """path, clause, value, line, col, offset. PROGRAM-ID and, in extended mode, the comment clauses; the last of a kind counts."""
+def _with_clause(parts: DataFrame, mode: str) -> DataFrame:
+    """Adds `clause`, the kind of clause that a sentence starts and the next one completes, null elsewhere, and that one's words."""
     by_file = Window.partitionBy("path").orderBy("sent")
-    rows = parts.where("NOT fatal").withColumns({"next_lex": F.lead("lex").over(by_file), "next_kind": F.lead("toks").over(by_file)[0]["type"], "next_ended": F.lead("ended").over(by_file)})
-    rows = rows.where(F.col("part") == "identification")
+    rows = parts.withColumns({"next_lex": F.lead("lex").over(by_file), "next_kind": F.lead("toks").over(by_file)[0]["type"], "next_ended": F.lead("ended").over(by_file)})
     named = (F.col("w0") == "PROGRAM-ID") & (F.col("n") == 1) & F.col("ended") & (F.size("next_lex") == 1) & _word(F.col("next_kind")) & F.col("next_ended")
     comment = (F.lit(mode) == "extended") & F.col("w0").isin(CLAUSES) & (F.col("n") == 1) & F.col("next_ended")
-    rows = rows.where(_is(named | comment)).withColumn("rank", F.row_number().over(Window.partitionBy("path", "w0").orderBy(F.desc("sent")))).where("rank = 1")
-    return rows.select("path", F.col("w0").alias("clause"), _join(F.col("next_lex")).alias("value"), "start.line", "start.col", "start.offset")
+    return rows.withColumn("clause", F.when(_is(F.col("part") == "identification") & ~F.col("fatal") & _is(named | comment), F.col("w0")))
+
+
+def clauses(parts: DataFrame, mode: str = "reference") -> DataFrame:
+    """path, clause, value, line, col, offset. PROGRAM-ID and, in extended mode, the comment clauses; the last of a kind counts."""
+    rows = _with_clause(parts, mode).where("clause IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("path", "clause").orderBy(F.desc("sent")))).where("rank = 1")
+    return rows.select("path", "clause", _join(F.col("next_lex")).alias("value"), "start.line", "start.col", "start.offset")
+
+
+def program_names(parts: DataFrame, mode: str = "reference") -> DataFrame:
+    """path, program: every source with a tree, the name empty where there is none. One aggregate by path, so a join with it that uses no name goes away."""
+    name = F.when(F.col("clause") == "PROGRAM-ID", F.struct("sent", ascii_upper(_join(F.col("next_lex"))).alias("name")))
+    return _with_clause(parts, mode).where("NOT fatal").groupBy("path").agg(F.coalesce(F.max(name)["name"], F.lit("")).alias("program"))
 
 
 def _picture(words: Column) -> Column:

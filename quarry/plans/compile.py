@@ -118,8 +118,7 @@ class Compilation:
         """path, program: every source with a tree, the name empty where there is none."""
         if self._names is not None:
             return self._names(self.symbols)
-        named = semantics.programs(self.clauses).select("path", F.col("name").alias("program"))  # a program's is the first of its names
-        return self.program.where("NOT fatal").select("path").join(named, "path", "left").withColumn("program", F.coalesce("program", F.lit("")))
+        return grammar.program_names(self.parts, self.mode)
 
     @cached_property
     def ir(self) -> DataFrame:

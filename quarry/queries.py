@@ -241,7 +241,7 @@ def r01_synchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT list_extract(['DISPLAY', 'MOVE', 'ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE', 'CALL', 'MOVE'], (o_orderkey % 8 + 1)::INT) AS opcode, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def i01_i08_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled_orders(spark, sf_dir).ir.groupBy("opcode").agg(F.count("*").alias("n"))
+    return compiled_orders(spark, sf_dir, keep=False).ir.groupBy("opcode").agg(F.count("*").alias("n"))
 
 
 _LINES = f"""CASE o_orderkey % 8 WHEN 0 THEN 'DISPLAY O-' || o_orderkey WHEN 1 THEN 'MOVE ' || {_N} || ' -> O-' || o_orderkey WHEN 2 THEN 'ADD ' || {_N} || ' TO O-' || o_orderkey
