@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["i01_i08_opcodes"])
+@pytest.mark.parametrize("name", ["i01_i08_opcodes", "a08_sizes"])
 def test_one_reading(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
     assert "InMemoryTableScan" not in text and "Join" not in text
