@@ -23,9 +23,10 @@ MODES = ("reference", "extended")
 class Compilation:
     """Tables of a set of sources (path, text). Each is a DataFrame, made when it is first asked for.
 
-    All tables start from the same sentences, with their divisions. With `keep` these are kept by path (in memory, then on disk), so that several tables lex
-    and deal the sources once, as are the narrow tables that most others join: statements, declarations and symbols. A lost executor's
-    part is made anew from the sources. `close` drops them, as leaving a `with` block does.
+    All tables start from the same sentences, with their divisions. With `keep` these are kept by path, so that several tables lex and deal the sources
+    once, as are the narrow tables that most others join: statements, declarations and symbols. They are kept on disk, where they are
+    written and read as streams: in memory they would take what sorts need, and another executor would get a part as one piece of the
+    heap. A lost executor's part is made anew from the sources. `close` drops them, as leaving a `with` block does.
 
     `lex` and `names` may be replaced: any functions from sources to tokens (a source's lexical error being a row without a type), and
     from symbols to (path, program).
@@ -55,7 +56,7 @@ class Compilation:
         return self._kept(grammar.divisions(lexer.sentences(self._lex(self.sources)), self.mode))
 
     def _kept(self, rows: DataFrame) -> DataFrame:
-        return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else rows
+        return rows.persist(StorageLevel.DISK_ONLY) if self.keep else rows
 
     @cached_property
     def lex_errors(self) -> DataFrame:

@@ -18,3 +18,10 @@ def test_one_reading(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
     assert "InMemoryTableScan" not in text and "Join" not in text
     assert len(re.findall("Generate explode|Generate posexplode", text)) == 1
+
+
+@pytest.mark.parametrize("name", ["j01_j03_sem001_sem003_sem010"])
+def test_kept_tables_take_no_memory(spark, name):
+    text = plan(queries.QUERIES[name](spark, SF))
+    kept = re.findall(r"StorageLevel\(([^)]*)\)", text)
+    assert kept and not any("memory" in k for k in kept)
