@@ -20,7 +20,7 @@ def test_one_reading(spark, name):
     assert len(re.findall("Generate explode|Generate posexplode", text)) == 1
 
 
-@pytest.mark.parametrize("name", ["j01_j03_sem001_sem003_sem010", "s10_a03_exit_codes"])
+@pytest.mark.parametrize("name", ["j01_j03_sem001_sem003_sem010", "s10_a03_exit_codes", "a03_r05_error_counts"])
 def test_kept_tables_take_no_memory(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
     kept = re.findall(r"StorageLevel\(([^)]*)\)", text)
