@@ -129,9 +129,17 @@ def _picture(words: Column) -> Column:
     return F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("done")), step)["n"]
 
 
+def _listed() -> Column:
+    return (F.col("part") == "data") & ~F.col("fatal") & F.col("listing") & (F.col("k0") == "number")
+
+
 def _items(parts: DataFrame) -> DataFrame:
     """Sentences of the data division's item list, read as items; `error` says why one is none."""
-    rows = parts.where((F.col("part") == "data") & ~F.col("fatal") & F.col("listing") & (F.col("k0") == "number"))
+    return _as_items(parts.where(_listed()))
+
+
+def _as_items(rows: DataFrame) -> DataFrame:
+    """Any sentences read as items, which only the listed ones are."""
     rest = lambda i: F.slice("toks", i + 1, F.greatest(F.col("n"), F.lit(1)))
     level = F.col("w0").try_cast("int") if hasattr(F.col("w0"), "try_cast") else F.expr("try_cast(w0 AS int)")
     rows = rows.withColumns({"level": level, "name": F.col("w1"), "pic": _is((_at(2, "type") == "keyword") & (_at(2, "lexeme") == "PIC")) & (level != 88)})
@@ -170,9 +178,18 @@ def procedure(parts: DataFrame, mode: str = "reference") -> DataFrame:
     what: label, statement, error; `resumes` tells whether reading goes on after an error. `bad_at` is the word at which an error is
     noticed: if the sentence ends in a word after it, resynchronisation stops on that word and the division ends.
     """
+    return _as_steps(parts.where(_in_procedure()), mode).where("what IS NOT NULL")
+
+
+def _in_procedure() -> Column:
+    return _is((F.col("part") == "procedure") & ~F.col("fatal"))
+
+
+def _as_steps(rows: DataFrame, mode: str) -> DataFrame:
+    """`procedure` over any sentences: `what` is null for those that are no step."""
     extended = mode == "extended"
     verbs = VERBS + (EXTENDED_VERBS if extended else [])
-    rows = parts.where((F.col("part") == "procedure") & ~F.col("fatal"))
+    here = _in_procedure()
     word, verb, n = _word(F.col("k0")), F.col("w0").isin(verbs), F.col("n")
     rows = rows.withColumn("rest", F.slice("lex", 2, F.greatest(n, F.lit(1))))
     split = F.coalesce(*(F.when(F.col("w0") == v, F.lit(s)) for v, s in SPLIT.items()), F.when(F.col("w0") == "CALL", F.lit("USING")))
@@ -201,18 +218,19 @@ def procedure(parts: DataFrame, mode: str = "reference") -> DataFrame:
     rows = rows.withColumns({"starts": word & verb, "names": word & ~verb, "bad": F.when(word & verb, bad_verb).when(word, bad_label)})
     last_is_word = _word(F.get("toks", n - 1)["type"])
     sticks = F.col("bad").isNotNull() & (F.col("bad.k") < n) & last_is_word & F.lit(not extended)
-    turn = F.when(F.col("names") & F.col("bad").isNull(), 1).when(F.col("names") & F.lit(not extended), 0)
+    turn = F.when(here & F.col("names") & F.col("bad").isNull(), 1).when(here & F.col("names") & F.lit(not extended), 0)
     rows = rows.withColumns({"sticks": sticks, "inside": F.coalesce(F.last(turn, ignorenulls=True).over(_before()), F.lit(0)) == 1})
     header = _is(F.col("division").isin(AFTER_PROCEDURE))
     skipped = (n == 0) | ~word
     ends = header | (F.lit(False) if extended else skipped | (F.col("starts") & ~F.col("inside")) | sticks)
-    rows = rows.withColumn("end_at", F.min(F.when(ends, F.col("sent"))).over(_whole())).where("end_at IS NULL OR sent <= end_at")
+    rows = rows.withColumn("end_at", F.min(F.when(here & ends, F.col("sent"))).over(_whole()))
+    read = here & (F.col("end_at").isNull() | (F.col("sent") <= F.col("end_at")))
     at_end = _is(F.col("sent") == F.col("end_at"))
     reached = ~at_end | (sticks & (F.col("inside") | F.col("names")) & ~header)
     if extended:
         reached &= ~skipped & (F.col("inside") | F.col("names"))
-    what = F.when(~reached, None).when(F.col("bad").isNotNull(), "error").when(F.col("names"), "label").otherwise("statement")
-    rows = rows.withColumn("what", what).where("what IS NOT NULL")
+    what = F.when(~(read & reached), None).when(F.col("bad").isNotNull(), "error").when(F.col("names"), "label").otherwise("statement")
+    rows = rows.withColumn("what", what)
     paragraph = F.sum(F.when(F.col("what") == "label", 1).otherwise(0)).over(Window.partitionBy("path").orderBy("sent").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumns({"para_ord": paragraph.cast("int"), "error": F.col("bad.m"), "bad_at": F.col("bad.k")})
 
@@ -228,16 +246,45 @@ def statements(found: DataFrame) -> DataFrame:
     Operands are texts of words joined by a blank: the two sides of MOVE and arithmetic, DISPLAY's all, CALL's target and then each
     argument as it stands.
     """
+    order = F.row_number().over(Window.partitionBy("path").orderBy("sent"))
+    return found.where("what = 'statement'").select("path", "para_ord", order.alias("stmt_ord"), _verb().alias("verb"), _operands().alias("operands"), "start.line", "start.col", "start.offset")
+
+
+def _operands() -> Column:
     n, p = F.size("rest"), F.col("p")
     sides = F.array(_join(F.slice("rest", F.lit(1), p - 1)), _join(F.slice("rest", p + 1, n)))
     call = F.when(p == 0, F.array(_join(F.col("rest")))).otherwise(F.concat(F.array(_join(F.slice("rest", F.lit(1), p - 1))), F.slice("rest", p + 1, F.greatest(n, F.lit(1)))))
-    operands = (
+    return (
         F.when(F.col("w0").isin(list(SPLIT)), F.when(p > 0, sides)).when(F.col("w0") == "CALL", F.when(p != 1, call)).when(F.col("w0") == "DISPLAY", F.array(_join(F.col("rest"))))
         .when(F.col("w0") == "GO", F.slice("rest", 2, 1)).when(F.col("w0").isin("ACCEPT", "PERFORM"), F.col("rest")).otherwise(F.array().cast("array<string>"))
     )
-    verb = F.when(F.col("w0") == "STOP", "STOP RUN").when(F.col("w0") == "GO", "GO TO").otherwise(F.col("w0"))
-    order = F.row_number().over(Window.partitionBy("path").orderBy("sent"))
-    return found.where("what = 'statement'").select("path", "para_ord", order.alias("stmt_ord"), verb.alias("verb"), operands.alias("operands"), "start.line", "start.col", "start.offset")
+
+
+def _verb() -> Column:
+    return F.when(F.col("w0") == "STOP", "STOP RUN").when(F.col("w0") == "GO", "GO TO").otherwise(F.col("w0"))
+
+
+def marked(parts: DataFrame, mode: str = "reference") -> DataFrame:
+    """Every sentence with what the passes look at, in one reading: path, sent, place, wrong, fatal, label, item, verb, operands, opens, named.
+
+    label is a paragraph's name, item a data item, verb and operands a statement's, each null elsewhere; program is the name of the
+    program, where its clause starts. opens tells which division starts there, named and labelled whether the source has such a clause
+    or a paragraph. A source with a lexical error is one row, with `wrong`.
+    """
+    rows = worded(parts).withColumn("wrong", F.col("error").isNotNull()).drop("error")
+    rows = _with_clause(rows, mode).withColumn("named_at", F.max(F.when(F.col("clause") == "PROGRAM-ID", F.col("sent"))).over(_whole()))
+    rows = rows.withColumn("program", F.when(F.col("sent") == F.col("named_at"), ascii_upper(_join(F.col("next_lex"))))).drop("next_lex", "next_kind", "next_ended")
+    rows = _as_items(rows)
+    item = F.when(_is(_listed() & F.col("error").isNull() & (F.col("sent") > F.col("last_storage"))), F.struct(F.col("name"), F.when(F.col("pic"), F.array_join(F.slice("lex", F.lit(4), F.col("took")), "")).alias("picture")))
+    rows = _as_steps(rows.withColumn("item", item).drop("error", "bad_at"), mode)
+    rows = rows.withColumn("label", F.when(F.col("what") == "label", F.col("w0")))
+    rows = rows.withColumn("labelled", F.max(F.col("label").isNotNull()).over(_whole()))
+    opens = F.when(F.col("sent") == F.col("id_at"), "identification").when(F.col("sent") == F.col("proc_at"), "procedure")
+    step = F.col("what") == "statement"
+    return rows.select(
+        "path", "sent", "start.line", "start.col", "start.offset", "wrong", "fatal", "program", "item", "label", F.when(step, _verb()).alias("verb"), F.when(step, _operands()).alias("operands"),
+        opens.alias("opens"), F.col("named_at").isNotNull().alias("named"), "labelled",
+    )
 
 
 def synchronised(toks: Column, ended: Column, k: Column) -> Column:

@@ -1,9 +1,7 @@
-"""Symbols and the five semantic passes, as windows and joins on (path, name)."""
+"""Symbols and the five semantic passes, as windows over (path, name)."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,86 +45,94 @@ def with_type(symbols: DataFrame, ctype: Column) -> DataFrame:
     return symbols.withColumn("ctype", ctype.cast(CTYPE))
 
 
-def _row(number: int, code: str | Column, message: Column, *order: Column) -> list[Column]:
-    return ["path", F.lit(number).alias("pass"), F.array(*(o.cast("int") for o in order)).alias("key"), (F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit("error").alias("severity"), message.alias("message"), *_PLACE]
-
-
 def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def duplicates(declared: DataFrame) -> DataFrame:
-    """SEM001 and SEM002: every declaration of a name but the first, program names apart."""
-    again = _ranked(declared).where("rank > 1 AND family > 0")
-    message = _text("duplicate ", F.col("kind"), " declaration: ", quoted(F.col("name")), " (first declared at ", F.col("path"), ":", F.col("first_line").cast("string"), ")")
-    return again.select(*_row(1, F.when(F.col("kind") == "variable", "SEM001").otherwise("SEM002"), message, F.col("family"), F.col("ord")))
+def findings(rows: DataFrame, mode: str = "reference") -> DataFrame:
+    """path, pass, key, code, message, place of what the passes find in `grammar.marked` sentences; pass 0 are sources that have no tree.
 
+    1: SEM001 and SEM002, every declaration of a name but the first, program names apart. 2: SEM003 (SEM004 for labels), names that are
+    not declared, or as something else. 3: SEM006 to SEM009, no program name, no paragraph, reserved names; blank CALL targets in
+    extended mode. 5: SEM010 and SEM012 (SEM011 in extended mode), moves of text to numbers, operands without a type, arithmetic on what
+    is no number.
 
-def references(statements: DataFrame, mode: str = "reference") -> DataFrame:
-    """Names that statements refer to: path, stmt_ord, ref_ord, name, expected kind. Literals are left out.
-
-    MOVE's two sides and DISPLAY's operand; in extended mode also those of arithmetic, ACCEPT and CALL ... USING, and the labels of
-    PERFORM and GO TO.
+    Sentences give declarations, references and findings of their own; a window over (path, name) puts the first declaration beside
+    each, and a second one over a source the source of a MOVE beside its target. So nothing is read twice, joined or moved.
     """
-    verbs = ["MOVE", "DISPLAY"] + (["ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "ACCEPT"] if mode == "extended" else [])
-    labels = ["PERFORM", "GO TO"] if mode == "extended" else []
-    rows = statements.where(F.col("verb").isin(verbs + labels)).select("path", "stmt_ord", "verb", *_PLACE, F.posexplode("operands").alias("ref_ord", "text"))
-    rows = rows.withColumn("name", ascii_upper(F.trim("text"))).where(F.col("verb").isin(labels) | ~is_literal(F.trim("text")))
-    return rows.withColumn("expected", F.when(F.col("verb").isin(labels), "paragraph").otherwise("variable"))
-
-
-def unresolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """SEM003 (SEM004 for labels): names that are not declared, or as something else."""
-    known = symbols.select("path", "name", F.col("kind").alias("found"))
-    missing = refs.join(known, ["path", "name"], "left_anti").withColumn("message", _text("undefined ", F.col("expected"), ": ", quoted(F.trim("text"))))
-    wrong = refs.join(known, ["path", "name"]).where("found <> expected").withColumn("message", _text("identifier ", quoted(F.trim("text")), " refers to a ", F.col("found"), " but a ", F.col("expected"), " was expected")).drop("found")
-    code = F.when(F.col("expected") == "paragraph", "SEM004").otherwise("SEM003")
-    return missing.unionByName(wrong).select(*_row(2, code, F.col("message"), F.col("stmt_ord"), F.col("ref_ord")))
-
-
-def invalid(program: DataFrame, clauses: DataFrame, items: DataFrame, paragraphs: DataFrame, statements: DataFrame, mode: str = "reference") -> DataFrame:
-    """SEM006 to SEM009: no program name, no paragraph, reserved names; blank CALL targets in extended mode."""
-    whole = program.where("NOT fatal")
-    named = clauses.where("clause = 'PROGRAM-ID' AND trim(value) <> ''").select("path")
-    at = lambda c: [F.col(f"{c}.{p}").alias(p) for p in _PLACE]
-    nameless = whole.where("has_identification").join(named, "path", "left_anti").select("path", *at("id_start")).select(*_row(3, "SEM006", F.lit("PROGRAM-ID is missing or blank"), F.lit(0), F.lit(0)))
-    empty = whole.where("has_procedure").join(paragraphs.select("path").distinct(), "path", "left_anti").select("path", *at("proc_start")).select(*_row(3, "SEM007", F.lit("PROCEDURE DIVISION is empty — no paragraphs declared"), F.lit(2), F.lit(0)))
-    reserved = items.where(is_reserved(F.col("name"))).select(*_row(3, "SEM008", _text("data-item name ", quoted(F.col("name")), " is a COBOL reserved word"), F.lit(1), F.col("item_ord")))
-    out = nameless.unionByName(reserved).unionByName(empty)
+    facts = rows.select("path", "sent", *_PLACE, "verb", F.explode(_facts(mode)).alias("f")).select("path", "sent", *_PLACE, "verb", "f.*")
+    name = Window.partitionBy("path", "name").orderBy("role", "family", "sent", "k")
+    facts = facts.withColumns({"rank": F.row_number().over(name), "first": F.first(F.struct("role", "kind", "picture", "line")).over(name)})
+    declared = F.col("first.role") == 0
+    facts = facts.withColumn("found", F.when((F.col("role") == 1) & declared, F.col("first.kind")))
+    facts = facts.withColumn("ctype", F.when(F.col("found") == "variable", picture_type(F.col("first.picture"))).cast(CTYPE))
+    again = (F.col("role") == 0) & (F.col("rank") > 1) & (F.col("family") > 0)
+    facts = facts.where(again | (F.col("role") > 0))
+    before = Window.partitionBy("path").orderBy("sent", "role", "k")
+    facts = facts.withColumn("prev", F.lag(F.struct("text", "found", "ctype")).over(before))
+    return facts.withColumn("x", _finding(again, mode)).where("x IS NOT NULL").select("path", "x.*", *_PLACE)
+
+
+def _facts(mode: str) -> Column:
+    """What a sentence declares (role 0), refers to (1) and shows by itself (2)."""
+    fields = {"role": "int", "family": "int", "k": "int", "name": "string", "kind": "string", "picture": "string", "text": "string", "code": "string", "key": "array<int>"}
+    fact = lambda **v: F.struct(*((F.lit(x) if not isinstance(x := v.get(f), Column) else x).cast(t).alias(f) for f, t in fields.items()))
+    shows = lambda number, code, a, b, text: fact(role=2, family=number, code=code, key=F.array(F.lit(a).cast("int"), b.cast("int")), text=text)
+    tree, sent, item = ~F.col("wrong") & ~F.col("fatal"), F.col("sent"), F.col("item")
+    zero = F.lit(0)
+    facts = [
+        F.when(F.col("wrong") | (F.col("fatal") & (sent == 0)), shows(0, None, 0, zero, F.lit(None))),
+        F.when(F.col("program").isNotNull(), fact(role=0, family=0, k=0, name=F.col("program"), kind="program")),
+        F.when(item.isNotNull(), fact(role=0, family=1, k=0, name=item["name"], kind="variable", picture=item["picture"])),
+        F.when(F.col("label").isNotNull(), fact(role=0, family=2, k=0, name=F.col("label"), kind="paragraph")),
+        F.when(tree & (F.col("opens") == "identification") & ~F.col("named"), shows(3, "SEM006", 0, zero, F.lit("PROGRAM-ID is missing or blank"))),
+        F.when(tree & (F.col("opens") == "procedure") & ~F.col("labelled"), shows(3, "SEM007", 2, zero, F.lit("PROCEDURE DIVISION is empty — no paragraphs declared"))),
+        F.when(item.isNotNull() & is_reserved(item["name"]), shows(3, "SEM008", 1, sent, _text("data-item name ", quoted(item["name"]), " is a COBOL reserved word"))),
+    ]
+    verbs, labels = ["MOVE", "DISPLAY"], []
     if mode == "extended":
-        blank = statements.where(F.col("verb") == "CALL").where(F.trim(F.regexp_replace(F.col("operands")[0], "^[\"']|[\"']$", "")) == "")
-        out = out.unionByName(blank.select(*_row(3, "SEM009", _text("static CALL target ", quoted(F.col("operands")[0]), " is blank or invalid"), F.lit(3), F.col("stmt_ord"))))
-    return out
-
-
-def mistyped(statements: DataFrame, symbols: DataFrame, mode: str = "reference") -> DataFrame:
-    """SEM010 and SEM012 (SEM011 in extended mode): moves of text to numbers, operands without a type, arithmetic on what is no number."""
-    typed = symbols.where("kind = 'variable'").select("path", "name", "ctype", F.lit(True).alias("known"))
-    side = lambda a: typed.select("path", F.col("name").alias(f"{a}_name"), F.col("ctype").alias(f"{a}_type"), F.col("known").alias(f"{a}_known"))
-    moves = statements.where("verb = 'MOVE'").withColumns({"s": F.trim(F.col("operands")[0]), "t": F.trim(F.col("operands")[1])}).withColumns({"s_name": ascii_upper(F.col("s")), "t_name": ascii_upper(F.col("t"))})
-    moves = moves.join(side("t"), ["path", "t_name"]).join(side("s"), ["path", "s_name"], "left")
+        verbs, labels = verbs + ["ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "ACCEPT"], ["PERFORM", "GO TO"]
+        target = F.get("operands", F.lit(0))
+        blank = (F.col("verb") == "CALL") & (F.trim(F.regexp_replace(target, "^[\"']|[\"']$", "")) == "")
+        facts.append(F.when(blank, shows(3, "SEM009", 3, sent, _text("static CALL target ", quoted(target), " is blank or invalid"))))
+    refers = F.when(F.col("verb").isin(verbs + labels), F.col("operands")).otherwise(F.array().cast("array<string>"))
+    expected = F.when(F.col("verb").isin(labels), "paragraph").otherwise("variable")
+    refs = F.transform(refers, lambda t, i: fact(role=1, family=0, k=i, name=ascii_upper(F.trim(t)), kind=expected, text=F.trim(t)))
+    return F.array_compact(F.concat(F.array(*facts), refs))
+
+
+def _finding(again: Column, mode: str) -> Column:
+    """What a fact beside its first declaration and the fact before it comes to; a reference that is not resolved has no type to be wrong."""
+    row = lambda number, code, message, *key: F.struct(F.lit(number).alias("pass"), F.array(*(k.cast("int") for k in key)).alias("key"), (F.lit(code) if isinstance(code, str) else code).alias("code"), message.alias("message"))
+    sent, k, verb, s, found, ctype, prev = (F.col(c) for c in ("sent", "k", "verb", "text", "found", "ctype", "prev"))
+    of = lambda v: (F.col("role") == 1) & (verb == v)
+    label = F.col("kind") == "paragraph"
+    named = (F.col("role") == 1) & (label | ~is_literal(s))
+    code = F.when(label, "SEM004").otherwise("SEM003")
     says = " has no resolved semantic type; TypeBuilder may not have processed it."
-    source = ~is_literal(F.col("s"), empty=False) & F.col("s_known")
-    hit = lambda code, *v: F.struct(F.lit(code).alias("code"), _text(*v).alias("message"))
-    found = (
-        F.when(F.col("t_type").isNull(), hit("SEM012", "MOVE target ", quoted(F.col("t")), says))
-        .when(source & F.col("s_type").isNull(), hit("SEM012", "MOVE source ", quoted(F.col("s")), says))
-        .when(source & ~movable(F.col("s_type.category"), F.col("t_type.category")), hit("SEM010", "incompatible MOVE: cannot move ", quoted(F.col("s_type.category")), " value (", quoted(F.col("s")), ") to numeric target ", quoted(F.col("t")), "."))
-    )
-    out = moves.withColumn("f", found).where("f IS NOT NULL").select(*_row(5, F.col("f.code"), F.col("f.message"), F.col("stmt_ord"), F.lit(0)))
-    shown = statements.where("verb = 'DISPLAY'").withColumn("s", F.trim(F.col("operands")[0])).where(~is_literal(F.col("s"), empty=False)).withColumn("s_name", ascii_upper(F.col("s"))).join(side("s"), ["path", "s_name"]).where("s_type IS NULL")
-    out = out.unionByName(shown.select(*_row(5, "SEM012", _text("DISPLAY operand ", quoted(F.col("s")), says), F.col("stmt_ord"), F.lit(0))))
+    # of a MOVE: the row of the target, and before it that of the source
+    target = of("MOVE") & (k == 1) & (found == "variable")
+    source = ~is_literal(prev["text"], empty=False) & F.coalesce(prev["found"] == "variable", F.lit(False))
+    cases = [
+        (again, row(1, F.when(F.col("kind") == "variable", "SEM001").otherwise("SEM002"), _text("duplicate ", F.col("kind"), " declaration: ", quoted(F.col("name")), " (first declared at ", F.col("path"), ":", F.col("first.line").cast("string"), ")"), F.col("family"), sent)),
+        (F.col("role") == 2, F.struct(F.col("family").alias("pass"), "key", "code", F.col("text").alias("message"))),
+        (named & found.isNull(), row(2, code, _text("undefined ", F.col("kind"), ": ", quoted(s)), sent, k)),
+        (named & (found != F.col("kind")), row(2, code, _text("identifier ", quoted(s), " refers to a ", found, " but a ", F.col("kind"), " was expected"), sent, k)),
+        (target & ctype.isNull(), row(5, "SEM012", _text("MOVE target ", quoted(s), says), sent, F.lit(0))),
+        (target & source & prev["ctype"].isNull(), row(5, "SEM012", _text("MOVE source ", quoted(prev["text"]), says), sent, F.lit(0))),
+        (target & source & ~movable(prev["ctype"]["category"], ctype["category"]), row(5, "SEM010", _text("incompatible MOVE: cannot move ", quoted(prev["ctype"]["category"]), " value (", quoted(prev["text"]), ") to numeric target ", quoted(s), "."), sent, F.lit(0))),
+        (of("DISPLAY") & ~is_literal(s, empty=False) & (found == "variable") & ctype.isNull(), row(5, "SEM012", _text("DISPLAY operand ", quoted(s), says), sent, F.lit(0))),
+    ]
     if mode == "extended":
-        sums = statements.where(F.col("verb").isin("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE")).select("*", F.posexplode("operands").alias("k", "s")).where(~is_numeric_literal(F.trim("s"))).withColumn("s_name", ascii_upper(F.trim("s"))).join(side("s"), ["path", "s_name"])
-        sums = sums.where("s_type IS NOT NULL AND s_type.category <> 'numeric'")
-        out = out.unionByName(sums.select(*_row(5, "SEM011", _text("arithmetic operand ", quoted(F.col("s_name")), " is not numeric"), F.col("stmt_ord"), F.col("k"))))
-    return out
+        sum_ = (F.col("role") == 1) & verb.isin("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE") & ~is_numeric_literal(s) & (found == "variable") & (ctype["category"] != "numeric")
+        cases.append((sum_, row(5, "SEM011", _text("arithmetic operand ", quoted(F.col("name")), " is not numeric"), sent, k)))
+    return F.coalesce(*(F.when(c, x) for c, x in cases))
 
 
-def diagnostics(*passes: DataFrame) -> DataFrame:
+def diagnostics(found: DataFrame) -> DataFrame:
     """path, pass, seq, code, severity, message, place: all passes' findings in their order."""
-    rows = functools.reduce(DataFrame.unionByName, passes)
-    return rows.select("path", "pass", F.row_number().over(Window.partitionBy("path").orderBy("pass", "key")).alias("seq"), "code", "severity", "message", *_PLACE)
+    seq = F.row_number().over(Window.partitionBy("path").orderBy("pass", "key"))
+    return found.where(F.col("pass") > 0).select("path", "pass", seq.alias("seq"), "code", F.lit("error").alias("severity"), "message", *_PLACE)
 
 
 def as_text(diagnostics: DataFrame, file: str = "path") -> DataFrame:

@@ -8,7 +8,7 @@ Sources are dealt by path once, in the lexer; every step after it stays within a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -18,24 +18,29 @@ from pyspark.sql import functions as F
 from ..operators import grammar, ir, java, lexer, semantics
 
 MODES = ("reference", "extended")
+KEPT = ("_read", "statements", "declarations", "symbols", "findings")
 
 
 class Compilation:
     """Tables of a set of sources (path, text). Each is a DataFrame, made when it is first asked for.
 
     All tables start from the same sentences, with their divisions. With `keep` these are kept by path, so that several tables lex and deal the sources
-    once, as are the narrow tables that most others join: statements, declarations and symbols. They are kept on disk, where they are
-    written and read as streams: in memory they would take what sorts need, and another executor would get a part as one piece of the
-    heap. A lost executor's part is made anew from the sources. `close` drops them, as leaving a `with` block does.
+    once, as are the narrow tables that most others join: statements, declarations, symbols and findings. They are kept on disk: in memory
+    they would take what sorts need, and another executor would get a part as one piece of the heap. A reader of a kept table still holds
+    up to 100 batches of 10,000 rows, which is much for sentences: who wants one table may name what is kept, as in
+    `keep=["findings"]`, and the sources are read for that alone. A lost executor's part is made anew from the sources. `close` drops
+    them, as leaving a `with` block does.
 
     `lex` and `names` may be replaced: any functions from sources to tokens (a source's lexical error being a row without a type), and
     from symbols to (path, program).
     """
 
-    def __init__(self, sources: DataFrame, mode: str = "reference", *, keep: bool = True, lex: Callable[[DataFrame], DataFrame] = lexer.lexed, names: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, sources: DataFrame, mode: str = "reference", *, keep: bool | Collection[str] = True, lex: Callable[[DataFrame], DataFrame] = lexer.lexed, names: Callable[[DataFrame], DataFrame] | None = None):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
-        self.keep = keep
+        self.keep = (KEPT if keep else ()) if isinstance(keep, bool) else tuple(keep)
+        if not set(self.keep) <= set(KEPT):
+            raise ValueError(f"what can be kept is {KEPT}")
         self.sources, self.mode, self._lex, self._names = sources, mode, lex, names
         # Spark 4.1 plans unions as partitioned like their inputs, but adaptive execution may then run them with the sum of their partitions
         sources.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
@@ -53,10 +58,10 @@ class Compilation:
     @cached_property
     def _read(self) -> DataFrame:
         """Sentences with their divisions; a source with a lexical error is one row."""
-        return self._kept(grammar.divisions(lexer.sentences(self._lex(self.sources)), self.mode))
+        return self._kept("_read", grammar.divisions(lexer.sentences(self._lex(self.sources)), self.mode))
 
-    def _kept(self, rows: DataFrame) -> DataFrame:
-        return rows.persist(StorageLevel.DISK_ONLY) if self.keep else rows
+    def _kept(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.persist(StorageLevel.DISK_ONLY) if name in self.keep else rows
 
     @cached_property
     def lex_errors(self) -> DataFrame:
@@ -67,8 +72,8 @@ class Compilation:
         return grammar.worded(self._read.where("error IS NULL").drop("error"))
 
     def close(self) -> None:
-        for name in ("_read", "statements", "declarations", "symbols"):
-            if self.keep and name in self.__dict__:
+        for name in self.keep:
+            if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
     @cached_property
@@ -93,7 +98,7 @@ class Compilation:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return self._kept(grammar.statements(self.procedure))
+        return self._kept("statements", grammar.statements(self.procedure))
 
     @cached_property
     def syntax_diagnostics(self) -> DataFrame:
@@ -101,18 +106,20 @@ class Compilation:
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return self._kept(semantics.declarations(self.clauses, self.items, self.paragraphs))
+        return self._kept("declarations", semantics.declarations(self.clauses, self.items, self.paragraphs))
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self._kept(semantics.symbols(self.declarations))
+        return self._kept("symbols", semantics.symbols(self.declarations))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """What the passes find, and as pass 0 the sources without a tree."""
+        return self._kept("findings", semantics.findings(grammar.marked(self._read, self.mode), self.mode))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return semantics.diagnostics(
-            semantics.duplicates(self.declarations), semantics.unresolved(semantics.references(self.statements, self.mode), self.symbols),
-            semantics.invalid(self.program, self.clauses, self.items, self.paragraphs, self.statements, self.mode), semantics.mistyped(self.statements, self.symbols, self.mode),
-        )
+        return semantics.diagnostics(self.findings)
 
     @cached_property
     def names(self) -> DataFrame:
@@ -144,7 +151,7 @@ class Compilation:
     @cached_property
     def exit_codes(self) -> DataFrame:
         """path, code: 2 for sources with a lexical, fatal or semantic error, else 0."""
-        bad = self.lex_errors.select("path").unionByName(self.program.where("fatal").select("path")).unionByName(self.diagnostics.select("path")).distinct()
+        bad = self.findings.select("path").distinct()
         return self.sources.select("path").join(bad.withColumn("code", F.lit(2)), "path", "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
     def visit(self, table: str, hooks: dict[str, Callable[[DataFrame], DataFrame]], by: str = "verb") -> dict[str, DataFrame]:

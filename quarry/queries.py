@@ -298,7 +298,7 @@ def i09_i10_if_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_PATH} AS path, CASE WHEN bool_or((o_orderkey % 11 = 0 AND o_orderkey % 7 > 0) OR (o_orderkey % 7 = 0 AND o_orderkey % 8 IN (0, 1, 7)) OR (o_orderkey % 7 > 0 AND o_orderkey % 8 = 7)) THEN 2 ELSE 0 END AS code FROM orders GROUP BY o_custkey")
 def s10_a03_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled_orders(spark, sf_dir).exit_codes
+    return compiled_orders(spark, sf_dir, keep=["findings"]).exit_codes
 
 
 @query("SELECT list_extract(['DISPLAY', 'MOVE', 'ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE', 'CALL', 'MOVE'], (o_orderkey % 8 + 1)::INT) AS verb, count(*)::BIGINT AS n FROM orders GROUP BY 1")

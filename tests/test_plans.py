@@ -25,3 +25,11 @@ def test_kept_tables_take_no_memory(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
     kept = re.findall(r"StorageLevel\(([^)]*)\)", text)
     assert kept and not any("memory" in k for k in kept)
+
+
+@pytest.mark.parametrize("name", ["s10_a03_exit_codes"])
+def test_findings_are_one_reading(spark, name):
+    """Only findings are kept, not sentences, and names are looked up without joins on them."""
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert len(re.findall("InMemoryRelation", text)) == 1 and "name#" not in "".join(re.findall(r"\w*Join\w* .*", text))
+    assert len(re.findall("posexplode", text)) == 1
