@@ -27,7 +27,7 @@ def test_kept_tables_take_no_memory(spark, name):
     assert kept and not any("memory" in k for k in kept)
 
 
-@pytest.mark.parametrize("name", ["s10_a03_exit_codes"])
+@pytest.mark.parametrize("name", ["s10_a03_exit_codes", "a03_r05_error_counts"])
 def test_findings_are_one_reading(spark, name):
     """Only findings are kept, not sentences, and names are looked up without joins on them."""
     text = plan(queries.QUERIES[name](spark, SF))
